@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import id_crc32
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .langid import fit_languages, identify_languages
 from .packing import pack_documents
 from .simhash import hex_fp, simhash_components
 from .toxicity import fit_toxicity, label_categories, score_toxicity
@@ -35,6 +37,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, chain).drop("text")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_crc32() % 3 == 1
+    model = fit_languages(docs, ~held_out)
+    found = identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.drop("text")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
