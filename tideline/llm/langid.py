@@ -14,9 +14,9 @@ sum over its words.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 #: Texts that a model is fitted on at most, chosen by a hash of the id.
 TRAIN_ROWS = 4000
-BUCKETS = 1 << 15
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 DIM = 16
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
@@ -33,13 +34,23 @@ UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def word_grams(word: str) -> list[int]:
-    """Buckets of a word (with its ends marked) and of its grams of 2 to 4 characters."""
-    marked = f"<{word}>"
-    grams = {marked} if len(marked) <= 32 else set()
-    for n in (2, 3, 4):
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)]
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed grams of many words at once: (number of the word, bucket). A word's
+    grams are those of 2 to 5 bytes of its UTF-8 between two end marks, so a
+    short word is a gram of its own."""
+    marked = [b"<%b>" % w.encode("utf-8", "surrogatepass") for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    word = np.repeat(np.arange(len(marked), dtype=np.int64), [len(m) for m in marked])
+    numbers, buckets = [], []
+    code = data
+    for n in (2, 3, 4, 5):
+        code = (code[:-1] << np.uint64(8)) | data[n - 1 :]
+        whole = word[: len(code)] == word[n - 1 :]
+        # multiplicative hashing of the gram and its length
+        hashed = ((code[whole] * np.uint64(8) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
+        numbers.append(word[: len(code)][whole])
+        buckets.append(hashed.astype(np.int64))
+    return np.concatenate(numbers), np.concatenate(buckets)
 
 
 def letters(text: str | None) -> list[str]:
@@ -82,18 +93,21 @@ class LanguageModel:
             total = np.zeros(width)
             for at in range(0, len(found), 1 << 16):
                 part = found[at : at + (1 << 16)]
-                new = set(part) - words.keys()
+                new = set(filterfalse(words.__contains__, part))
                 if len(words) + len(new) > CACHE_WORDS:
                     words.clear()
                     new = set(part)
                 if len(words) + len(new) > len(table):
                     table = np.concatenate([table, np.zeros((max(len(table), len(new)), width), np.float32)])
                     self._cache["table"] = table
-                for w in new:
-                    grams = word_grams(w)
-                    table[len(words), :-1] = self.scores[grams].sum(0)
-                    table[len(words), -1] = len(grams)
-                    words[w] = len(words)
+                if new:
+                    order, first = sorted(new), len(words)
+                    number, grams = word_grams(order)
+                    rows = table[first : first + len(order)]
+                    for c in range(width - 1):
+                        rows[:, c] = np.bincount(number, self.scores[grams, c], len(order))
+                    rows[:, -1] = np.bincount(number, minlength=len(order))
+                    words.update(zip(order, range(first, first + len(order)), strict=True))
                 total += table[np.fromiter(map(words.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
             out[k] = total[:-1] / total[-1]
         return out + self.bias, has
@@ -122,14 +136,11 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     k = len(languages)
     if k == 0:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    grams: dict[str, np.ndarray] = {}
     bags = []
     for words, _ in docs:
-        for w in set(words):
-            if w not in grams:
-                grams[w] = np.array(word_grams(w), np.int64)
-        ids, n = np.unique(np.concatenate([grams[w] for w in words]), return_counts=True)
-        bags.append((ids, (n / n.sum()).astype(np.float32)))
+        n = np.bincount(word_grams(words)[1], minlength=BUCKETS)
+        ids = np.flatnonzero(n)
+        bags.append((ids, (n[ids] / n.sum()).astype(np.float32)))
     y = np.array([languages.index(lang) for _, lang in docs])
     kept_out = np.arange(len(docs)) % 5 == 4 if len(docs) >= 50 else np.zeros(len(docs), bool)
     rng = np.random.default_rng(seed)

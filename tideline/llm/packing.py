@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ class WordTokenizer:
             self.cache.clear()
         parts = {w: self.parts(w) for w in words}
         stems = {x for p in parts.values() for x in p if x}
-        new = list(stems - self.stems.keys())
+        new = list(filterfalse(self.stems.__contains__, stems))
         if len(self.stems) + len(new) > 2 * self.cache_words:
             self.stems.clear()
             new = list(stems)
@@ -92,7 +93,7 @@ class WordTokenizer:
             some = texts[at : at + 256]
             odd = [self.mark is None or _MARK in t or any(c in t for c in _SEPARATORS) for t in some]
             split = [() if o else t.split() for t, o in zip(some, odd, strict=True)]
-            new = set().union(*split) - self.cache.keys()
+            new = {w for words in split for w in filterfalse(self.cache.__contains__, words)}
             long = {w for w in new if len(w) > 200}
             if new - long:
                 if len(self.cache) + len(new) > self.cache_words:

@@ -13,6 +13,7 @@ from .common import id_crc32
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .langid import fit_languages, identify_languages
+from .lm_scoring import score_texts
 from .packing import pack_documents
 from .simhash import hex_fp, simhash_components
 from .toxicity import fit_toxicity, label_categories, score_toxicity
@@ -28,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_texts(docs, id_crc32() % 10 != 0)
+    return found.withColumn("held_out", ~F.col("learnt")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -82,6 +89,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op5_chat": op5_chat,
     "op7_language_id": op7_language_id,
     "op4_packing": op4_packing,
