@@ -15,13 +15,14 @@ no second shuffle gathers sequences.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,85 +30,83 @@ from .common import write_shared
 
 CAPACITY = 2048
 #: Words whose ids a Python worker keeps; it starts afresh beyond that.
-CACHE_WORDS = 300_000
-_MARK = "\x01"
+CACHE_WORDS = 500_000
+#: Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_END = "\0"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: str.split() parts at these too, the tokenizer's \s does not.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Arrow parts words at these too, the tokenizer's \s does not.
+_SEPARATORS = r"[\x1c-\x1f]"
 
 
-class WordTokenizer:
-    """Ids of whole texts, word by word.
+class WordTokenizer(dict):
+    """Ids of whole texts, word by word; itself the cache of words.
 
     The vocabulary's pre-tokenizer never joins characters across white space, so
     a text's ids are its white-space-separated words' ids in order, and words
-    recur. Texts with characters that would break this go to the tokenizer whole.
+    recur. A batch's words are numbered by Arrow, each distinct one is looked up
+    once, and the ids are put together by Arrow. Texts with characters at which
+    Arrow parts words and the tokenizer doesn't go to the tokenizer whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.stems: dict[str, bytes] = {}
         self.cache_words = cache_words
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Put the words' ids into the cache. A word is looked up as its letters
-        and the ASCII punctuation after them, which the pre-tokenizer parts too."""
-        if len(self.cache) + len(words) > self.cache_words:
-            self.cache.clear()
-        parts = {w: self.parts(w) for w in words}
-        stems = {x for p in parts.values() for x in p if x}
-        new = list(filterfalse(self.stems.__contains__, stems))
-        if len(self.stems) + len(new) > 2 * self.cache_words:
-            self.stems.clear()
-            new = list(stems)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.split(ids, np.flatnonzero(ids == self.mark))
-            if len(cuts) != len(part):
-                self.stems.update((w, self.whole(w)) for w in part)
-            else:
-                self.stems.update((w, (c if k == 0 else c[1:]).tobytes()) for k, (w, c) in enumerate(zip(part, cuts, strict=True)))
-        self.stems[""] = b""
-        get = self.stems.__getitem__
-        self.cache.update((w, get(a) + get(b)) for w, (a, b) in parts.items())
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
+    def __missing__(self, word: str) -> bytes:
+        """A word's letters and the ASCII punctuation after them are pre-tokens of
+        their own, whose ids are kept too; any other word goes to the tokenizer."""
         stem = word.rstrip(_PUNCTUATION)
-        if not stem.isalpha():
-            return word, ""
-        return (stem if "\u03a3" in stem else stem.lower()), word[len(stem) :]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for at in range(0, len(texts), 256):
-            some = texts[at : at + 256]
-            odd = [self.mark is None or _MARK in t or any(c in t for c in _SEPARATORS) for t in some]
-            split = [() if o else t.split() for t, o in zip(some, odd, strict=True)]
-            new = {w for words in split for w in filterfalse(self.cache.__contains__, words)}
-            long = {w for w in new if len(w) > 200}
-            if new - long:
-                if len(self.cache) + len(new) > self.cache_words:
-                    new = set().union(*split)
-                    long = {w for w in new if len(w) > 200}
-                self.learn(new - long)
-            get = self.cache.__getitem__
-            for t, o, w in zip(some, odd, split, strict=True):
-                if o:
-                    yield self.whole(t)
-                elif long and not long.isdisjoint(w):
-                    yield b"".join(self.whole(x) if x in long else get(x) for x in w)
-                else:
-                    yield b"".join(map(get, w))
+        end = word[len(stem) :]
+        if not stem.isascii():
+            stem = "".join(c.lower() for c in unicodedata.normalize("NFC", stem)) if stem.isalpha() else ""
+        if not stem.isalpha() or len(word) > 200:
+            found = self.whole(word)
+        else:
+            found = self._stem(stem.lower() if stem.isascii() else stem)
+            if end:
+                found += self._end(end)
+        if len(word) <= 200:
+            if len(self) >= self.cache_words:
+                self.clear()
+            self[word] = found
+        return found
+
+    def _stem(self, stem: str) -> bytes:
+        found = self.stems.get(stem)
+        if found is None:
+            if len(self.stems) >= 2 * self.cache_words:
+                self.stems.clear()
+            found = np.array([t.id for t in self.model.tokenize(stem.encode().decode("latin-1").translate(_BYTE_LEVEL))], "<u4").tobytes()
+            self.stems[stem] = found
+        return found
+
+    def _end(self, end: str) -> bytes:
+        found = self.stems.get(_END + end)
+        if found is None:
+            found = self.stems[_END + end] = self.whole(end)
+        return found
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (no nulls)."""
+        odd = pc.match_substring_regex(texts, _SEPARATORS)
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        numbered = words.flatten().dictionary_encode()
+        known = pa.array(map(self.__getitem__, numbered.dictionary.to_pylist()), pa.binary(), size=len(numbered.dictionary))
+        joined = known.take(numbered.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1) if len(joined) else np.zeros(1, np.int32)
+        data = memoryview(joined.buffers()[2]) if len(joined) and joined.buffers()[2] else memoryview(b"")
+        starts = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        for k, is_odd in enumerate(odd.to_pylist()):
+            yield self.whole(texts[k].as_py()) if is_odd else bytes(data[starts[k] : starts[k + 1]])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -127,8 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k, ids in enumerate(tokenizer.ids(texts)):
+            for k, ids in enumerate(tokenizer.ids(batch.column(1).fill_null(""))):
                 ids += b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
