@@ -12,7 +12,9 @@ from .chat import format_chat, read_loss, read_turns
 from .common import id_crc32
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .html_extraction import extract
 from .langid import fit_languages, identify_languages
+from .license_scan import scan_licenses
 from .lm_scoring import score_texts
 from .packing import pack_documents
 from .simhash import hex_fp, simhash_components
@@ -35,6 +37,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", ~F.col("learnt")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -90,6 +100,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_license_scan": op2_license_scan,
+    "op3_html_extraction": op3_html_extraction,
     "op5_chat": op5_chat,
     "op7_language_id": op7_language_id,
     "op4_packing": op4_packing,
