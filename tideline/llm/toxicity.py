@@ -91,7 +91,7 @@ class Linear:
         return np.bincount(rows, self.weights[ids], len(before)) + before @ self.chain + self.bias
 
     @staticmethod
-    def fit(rows: np.ndarray, ids: np.ndarray, before: np.ndarray, y: np.ndarray, size: int, l2: float = 0.5, rounds: int = 150) -> Linear:
+    def fit(rows: np.ndarray, ids: np.ndarray, before: np.ndarray, y: np.ndarray, size: int, l2: float = 0.1, rounds: int = 150) -> Linear:
         """Accelerated gradients with a step per coordinate."""
         n, extra = before.shape
         share = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
@@ -156,7 +156,7 @@ def _select(docs: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray
         top = np.argsort(-np.abs(z), kind="stable")[: most // labels.shape[1]]
         strength[top] = np.maximum(strength[top], np.abs(z[top]))
     number = np.full(BUCKETS, -1, np.int32)
-    used = np.flatnonzero(strength > 2)
+    used = np.flatnonzero(strength > 3)
     number[used] = np.arange(len(used))
     return number
 
