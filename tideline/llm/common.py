@@ -52,6 +52,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand rows at a time, where the session
+    has Spark's default of ten thousand: with long texts a batch of those holds
+    much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def ascii_lower(text: Column | str) -> Column:
     """A-Z to a-z; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)

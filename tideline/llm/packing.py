@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import small_batches, write_shared
 
 CAPACITY = 2048
 #: Words whose ids a Python worker keeps; it starts afresh beyond that.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 40_000
+#: Texts whose words are numbered together.
+SLICE = 1_000
 #: Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -58,6 +60,10 @@ class WordTokenizer(dict):
         self.stems: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def forget(self) -> None:
+        self.clear()
+        self.stems.clear()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -124,18 +130,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for k, ids in enumerate(tokenizer.ids(batch.column(1).fill_null(""))):
-                ids += b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (k, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-            ids_of = batch.column(0).take(pa.array(rows[0], pa.int64()))
-            rest = [pa.array(c, t) for c, t in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids_of, *rest], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
+        try:
+            for batch in batches:
+                rows: tuple[list, ...] = ([], [], [], [], [])
+                texts = batch.column(1).fill_null("")
+                for k, ids in enumerate(x for at in range(0, len(texts), SLICE) for x in tokenizer.ids(texts.slice(at, SLICE))):
+                    ids += b"\0\0\0\0"
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(rows, (k, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
+                ids_of = batch.column(0).take(pa.array(rows[0], pa.int64()))
+                rest = [pa.array(c, t) for c, t in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids_of, *rest], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            tokenizer.forget()  # idle workers stay alive
+
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -7,8 +7,8 @@ probabilities come from models that did not see the document (out-of-fold), as
 they will be when new documents are scored.
 
 Training takes a bounded sample of labelled rows, in numpy on the driver. Scoring
-is one pass over whole texts without a shuffle; each worker remembers the grams
-of the words it has met.
+is one pass over whole texts without a shuffle. The words of a slice of texts are
+numbered and hashed together, so nothing is remembered between slices.
 """
 
 from __future__ import annotations
@@ -16,62 +16,76 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from .common import small_batches
+
 #: Labelled rows that a model is fitted on at most, chosen by a hash of the id.
 TRAIN_ROWS = 8000
-BUCKETS = 1 << 20
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
 #: Grams a model uses at most, those with the strongest association.
 FEATURES = 3000
 FOLDS = 4
-CACHE_WORDS = 400_000
+#: Texts that are looked at together.
+SLICE = 128
 
 _WORD = re.compile(r"\w+")
 
 
-def word_buckets(word: str) -> list[int]:
-    """Hash buckets of a word: itself and its grams of 4 and 5 bytes."""
-    marked = b"<" + word.encode("utf-8", "surrogatepass") + b">"
-    n = len(marked)
-    crc, mask = zlib.crc32, BUCKETS - 1
-    out = [crc(marked) & mask]
-    if n <= 64:
-        out += [crc(marked[i : i + 4]) & mask for i in range(n - 3)]
-        out += [crc(marked[i : i + 5]) & mask for i in range(n - 4)]
-    else:  # a long string of letters is no word; only its ends are looked at
-        out += [crc(marked[:5]) & mask, crc(marked[-5:]) & mask]
-    return out
-
-
-class _Buckets(dict):
-    """word -> bytes of 32-bit feature numbers; ``number`` maps buckets to
-    features (-1: none). Bounded: starts afresh when full."""
-
-    def __init__(self, number: np.ndarray | None) -> None:
-        self.number = number
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(word_buckets(word), np.int64)
-        if self.number is not None:
-            ids = self.number[ids]
-            ids = ids[ids >= 0]
-        found = ids.astype("<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, hash bucket) of many words at once: each word itself
+    and its grams of 4 and 5 bytes of UTF-8 between two end marks."""
+    marked = [b"<%b>" % w.encode("utf-8", "surrogatepass") for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    word = np.repeat(np.arange(len(marked)), [len(m) for m in marked])
+    numbers, buckets = [np.arange(len(marked))], [np.fromiter(map(zlib.crc32, marked), np.int64, len(marked)) & (BUCKETS - 1)]
+    if len(data) >= 5:
+        two = data[:-1] << np.uint64(8) | data[1:]
+        four = two[:-2] << np.uint64(16) | two[2:]
+        for n, code in ((4, four), (5, four[:-1] << np.uint64(8) | data[4:])):
+            whole = word[: len(code)] == word[n - 1 :]
+            # multiplicative hashing of the gram and its length
+            hashed = (code[whole] * np.uint64(8) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)
+            numbers.append(word[: len(code)][whole])
+            buckets.append(hashed.astype(np.int64))
+    return np.concatenate(numbers), np.concatenate(buckets)
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
         return found
 
 
-def present(text: str | None, cache: _Buckets) -> np.ndarray:
-    """Distinct features of a whole text."""
-    words = set(_WORD.findall((text or "").lower()))
-    return np.unique(np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4"))
+def present(texts: list[str | None], number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of the features that whole texts have, each once, sorted.
+    ``number`` maps buckets to features (-1: none); without it they are buckets."""
+    seen = _Numbers()
+    own = [np.fromiter(map(seen.__getitem__, words), np.int64, len(words)) for words in (set(_WORD.findall((t or "").lower())) for t in texts)]
+    of, ids = word_buckets(list(seen))
+    if number is not None:
+        ids = number[ids]
+        of, ids = of[ids >= 0], ids[ids >= 0]
+    order = np.argsort(of, kind="stable")
+    of, ids = of[order], ids[order].astype(np.int64)
+    starts = np.searchsorted(of, np.arange(len(seen) + 1))
+    words = np.concatenate(own) if own else np.empty(0, np.int64)
+    rows = np.repeat(np.arange(len(own)), [len(w) for w in own])
+    counts = (starts[1:] - starts[:-1])[words]
+    ends = np.cumsum(counts)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts[words], counts)
+    key = np.unique(np.repeat(rows, counts) << 32 | ids[at])
+    return key >> 32, key & 0xFFFFFFFF
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -119,16 +133,14 @@ class Chain:
     number: np.ndarray
     models: list[Linear]
     thresholds: list[float]
-    _cache: dict = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {**self.__dict__, "_cache": {}}
+    def score_column(self, texts: pa.Array) -> np.ndarray:
+        """As ``score``, a slice at a time."""
+        parts = [self.score(texts.slice(at, SLICE).to_pylist()) for at in range(0, len(texts), SLICE)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.models)))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        cache = self._cache.setdefault(0, _Buckets(self.number))
-        found = [present(t, cache) for t in texts]
-        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        ids = np.concatenate(found) if found else np.empty(0, np.int64)
+        rows, ids = present(texts, self.number)
         out = np.zeros((len(texts), len(self.models)))
         for k, model in enumerate(self.models):
             out[:, k] = _sigmoid(model.logits(rows, ids, out[:, :k]))
@@ -138,17 +150,20 @@ class Chain:
 def _select(docs: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
     """Feature number of each bucket (-1: unused): the buckets whose presence is
     most strongly associated with any category, by the z-score of the log odds."""
-    ids = np.concatenate(docs) if docs else np.empty(0, np.int64)
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    # How many texts of each label have a bucket, a few texts at a time.
+    counts = np.zeros((2, labels.shape[1], BUCKETS))
+    for at in range(0, len(docs), SLICE):
+        part = docs[at : at + SLICE]
+        ids, sizes = np.concatenate(part), [len(x) for x in part]
+        for k in range(labels.shape[1]):
+            for y in (0, 1):
+                counts[y, k] += np.bincount(ids[np.repeat(labels[at : at + SLICE, k] == y, sizes)], minlength=BUCKETS)
     strength = np.zeros(BUCKETS)
     for k in range(labels.shape[1]):
-        y = labels[:, k]
-        known = ~np.isnan(y)
-        yes, no = known & (y == 1), known & (y == 0)
+        yes, no = labels[:, k] == 1, labels[:, k] == 0
         if not yes.any() or not no.any():
             continue
-        a = np.bincount(ids[yes[rows]], minlength=BUCKETS) + 0.5
-        b = np.bincount(ids[no[rows]], minlength=BUCKETS) + 0.5
+        a, b = counts[1, k] + 0.5, counts[0, k] + 0.5
         c, d = yes.sum() + 1 - a, no.sum() + 1 - b
         z = (np.log(a * d) - np.log(b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
         z[(a + b) < 4] = 0
@@ -167,7 +182,7 @@ def train_chain(docs: list[np.ndarray], labels: np.ndarray, categories: list[str
     never predicted (probability 0)."""
     number = _select(docs, labels, features)
     size = int(number.max(initial=-1)) + 1
-    own = [number[d][number[d] >= 0] for d in docs]
+    own = [n[n >= 0] for n in (number[d] for d in docs)]
     rows = np.repeat(np.arange(len(own)), [len(d) for d in own])
     ids = np.concatenate(own) if own else np.empty(0, np.int64)
     fold = np.arange(len(docs)) % folds
@@ -223,21 +238,28 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], train_rows: int = TRAIN_ROWS) -> Chain:
     """Fit a chain in the order of ``categories`` (name: 0/1 column of labels)."""
     names = list(categories)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Buckets(None)
         for batch in batches:
-            found = [present(t, cache).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f.tobytes() for f in found], pa.binary()), *(batch.column(c) for c in names)],
-                names=["doc_id", "found", *names],
-            )
+            texts = batch.column("text")
+            found = []
+            for at in range(0, len(texts), SLICE // 4):
+                part = texts.slice(at, SLICE // 4)
+                rows, ids = present(part.to_pylist())
+                found += [x.astype("<u4").tobytes() for x in np.split(ids, np.searchsorted(rows, np.arange(1, len(part))))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), *(batch.column(c) for c in names)], names=["doc_id", "found", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = sample_labelled(docs, labels, categories, train_rows)
-    rows = sample.mapInArrow(run, f"doc_id {kind}, found binary, {', '.join(f'`{c}` double' for c in names)}").toArrow().sort_by("doc_id")
-    buckets = [np.frombuffer(x, np.int32) for x in rows.column("found").to_pylist()]
-    y = np.stack([rows.column(c).to_numpy() for c in names], 1) if rows.num_rows else np.zeros((0, len(names)))
+    rows = sample.mapInArrow(run, f"doc_id {kind}, found binary, {', '.join(f'`{c}` double' for c in names)}").toArrow()
+    if not rows.num_rows:
+        return train_chain([], np.zeros((0, len(names))), names)
+    found = rows.column("found").combine_chunks()
+    data, ends = np.frombuffer(found.buffers()[2], "<u4"), np.frombuffer(found.buffers()[1], np.int32)[found.offset :] // 4
+    order = pc.sort_indices(rows.column("doc_id")).to_numpy()
+    buckets = [data[ends[k] : ends[k + 1]] for k in order]
+    y = np.stack([rows.column(c).to_numpy() for c in names], 1)[order]
     return train_chain(buckets, y.astype(float), names)
 
 
@@ -246,13 +268,14 @@ def score_toxicity(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFra
     boolean ``toxic``: whether the last category's probability reaches its
     threshold. A null text is scored as the empty one."""
     columns = docs.columns
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(chain)
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in batches:
-            p = fitted.score(batch.column(at).to_pylist())
+            p = fitted.score_column(batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= fitted.thresholds[-1])],
                 names=[*columns, *(prefix + c for c in chain.categories), "toxic"],
@@ -277,7 +300,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in batches:
-            clean = fitted.score(batch.column(at).to_pylist())[:, -1] < fitted.thresholds[-1]
-            yield batch.filter(pa.array(clean))
+            yield batch.filter(pa.array(fitted.score_column(batch.column(at))[:, -1] < fitted.thresholds[-1]))
 
     return docs.mapInArrow(run, docs.schema)
