@@ -309,7 +309,7 @@ def _places(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return length, starts - first_of, sequence, offset, count
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 50_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 1_000) -> DataFrame:
     """``found (doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``.
 
     ``found`` must be stable (a table). Every row gets a place; rows that repeat
@@ -322,8 +322,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 50_000
     length, first, sequence, offset, _ = _places(make_plan(histogram, capacity))
     key = length << 40 | first if len(length) else first
 
-    salts = max(1, -(-int(histogram.max()) // rows_per_salt))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # Every length has salts by its own count, so no task ranks much more than `rows_per_salt` rows of a common one.
+    salts = F.array(*(F.lit(max(1, -(-int(n) // rows_per_salt))) for n in histogram))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
     before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     order = "rows between unbounded preceding and 1 preceding"
     before = before.select("length", "_salt", F.expr(f"coalesce(sum(_n) over (partition by length order by _salt {order}), 0)").alias("_before"))
