@@ -57,7 +57,7 @@ CASES = {
     "unclosed advert": ('<div class="ad">Buy<p>text here', "text here"),
     "form around all": ("<form><main><p>Hello there</p></main></form>", "Hello there"),
     "no markup": ("plain  text\n&lt;b&gt; a < b", "plain text <b> a < b"),
-    "inline": ("<p>a<b>b</b>c<br>d <!-- no -->e</p>", "abc de"),
+    "inline": ("<p>a<b>b</b>c<br>d <!-- no -->e</p>", "abc d e"),
     "cut": ("<p>a</p><script>b", "a"),
     "lists": ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\n\ntwo\n\nx\n\ny"),
     "null": (None, ""),

@@ -334,9 +334,13 @@ def main_text(source: str | None, weights: Weights | None = None, seen: dict | N
             if words:
                 scores[place] = words
             kept.append((place, raw))
-    for k, e in enumerate(page.elements):  # tags within boilerplate cost no more than the element itself
-        if bad[k] and e.parent >= 0 and bad[e.parent]:
-            scores[e.start] = 0
+    # Boilerplate is left out of the text, so it does not part what stands around it.
+    edges_of = np.zeros(page.size + 1, np.int64)
+    for k, e in enumerate(page.elements):
+        if bad[k]:
+            edges_of[e.start] += 1
+            edges_of[e.end] -= 1
+    scores[np.cumsum(edges_of[:-1]) > 0] = 0
     first, last = best_run(scores)
     if first == last:
         return ""

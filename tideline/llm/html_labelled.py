@@ -11,7 +11,11 @@ SURROUNDINGS = (
     "login search cookie cookies consent notice notification alert popup modal overlay pagination copyright disclaimer teaser"
 ).split()
 
+#: Roles of page furniture.
+ROLES = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
+
 PAGES = [
+    "".join(f'<div data-x role="{r}">{r}</div>' for r in ROLES),
     "".join(f'<div data-x class="{w}">{w}</div><p data-x id="{w}">{w}</p>' for w in SURROUNDINGS),
     # A news article with the usual surroundings.
     """<html><body><header data-x class="site-header"><div class="logo">The Paper</div></header>
