@@ -112,3 +112,30 @@ def test_text_scores_without_rows(spark):
     found = lm_scoring.score_texts(df, F.lit(False)).collect()
     assert [(r["n_known"], r["train_tokens"]) for r in found] == [(0, 0)] * 2
     assert lm_scoring.score_texts(df.where("false"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_the_network_learns_from_every_token(spark, monkeypatch, shards):
+    texts = ["a b c d", "", None, "x " * 100_000, "b a"] * 3
+    df = spark.createDataFrame([(k // 2 if k else None, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    code = {b"a": 1, b"b": 2, b"c": 3, b"d": 4, b"x": 5}
+    held = lm_scoring.shards_of(df, code.get, 6, shards).collect()
+    got = Counter()
+    for r in held:
+        history, target = lm_scoring.examples_of(r["parts"])
+        got.update(zip(*history.T.tolist(), target.tolist(), strict=True))
+    want = Counter()
+    for t in texts:
+        o = [6, 6, *(code[w.encode()] for w in split(t)), 0]
+        want.update(zip(o, o[1:], o[2:], strict=False))
+    assert got == want and len(held) == len({r["shard"] for r in held}) <= shards
+
+
+def test_averaged_passes_learn(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(20)]
+    texts = [" ".join(words[(k + j) % 20] for j in range(60)) for k in rng.integers(0, 20, 400)]  # each word tells the next
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = (lm_scoring.score_texts(df, F.lit(True), shard_tokens=n).agg(F.sum("score")).first()[0] for n in (1_000_000, 4_000))
+    base = lm_scoring.score_texts(df, F.lit(True)).agg(F.sum("base_score")).first()[0]
+    assert one > 0.5 * base and many > 0.5 * base

@@ -6,6 +6,11 @@ vectors, plus biases, are the outputs' scores (log-bilinear). It is trained in
 numpy with noise-contrastive estimation, and its log-probabilities are normalised
 by batched matrix products over all outputs.
 
+It learns from all training tokens. They are dealt into shards of about equal
+size; in each pass every shard is learnt from on the executors, starting from the
+same parameters, and the results are averaged there by tokens. What reaches the
+driver is the square root of the shards, in averages of fixed size.
+
 Outputs are the end of a text, the most frequent words, and classes (by their
 last letters) of all other words. A word of a class gets the class's probability
 times its share of the class's training tokens; words never seen share the mass
@@ -19,9 +24,10 @@ of all others meet the count table in an equi-join on the word.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +42,11 @@ SHORTLIST = 511
 CLASSES = 256
 #: Words whose counts every worker holds at most; the others are joined.
 COMMON = 300_000
-#: Training tokens that the network sees at most, in texts chosen by a hash over the whole corpus.
-TRAIN_TOKENS = 2_000_000
+#: Training tokens of a shard, about, and the tokens that a row of one holds at most.
+SHARD_TOKENS = 500_000
+PART = 65_536
+#: Passes over all training tokens.
+EPOCHS = 4
 DIM = 24
 _FLUSH = 300_000
 
@@ -72,7 +81,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Rows of ``values`` summed by ``index``."""
-    return np.stack([np.bincount(index, values[:, k], size) for k in range(values.shape[1])], 1)
+    width = values.shape[1]
+    return np.bincount((index[:, None] * width + np.arange(width)).ravel(), values.ravel(), size * width).reshape(size, width)
 
 
 @dataclass
@@ -87,52 +97,66 @@ class LogBilinear:
     bias: np.ndarray
 
     @staticmethod
-    def train(history: np.ndarray, target: np.ndarray, unigram: np.ndarray, dim: int = DIM, epochs: int = 4, noise: int = 64, batch: int = 1024, rate: float = 0.1, seed: int = 0) -> LogBilinear:
-        """Noise-contrastive estimation: tell each target from ``noise`` outputs
-        drawn from the unigram distribution (one draw serves a whole batch, so
-        that scores are matrix products). ``history``: (n, 2) far and near."""
+    def start(unigram: np.ndarray, dim: int = DIM, seed: int = 0) -> tuple[LogBilinear, LogBilinear]:
+        """The untrained network, and the sums of its squared gradients."""
         rng = np.random.default_rng(seed)
         size = len(unigram)
-        init = lambda *s: rng.standard_normal(s).astype(np.float64) * 0.1
+        init = lambda *s: rng.standard_normal(s) * 0.1
         model = LogBilinear(init(size + 1, dim), np.eye(dim), np.eye(dim) * 0.5, init(size, dim), np.log(unigram))
-        log_noise = np.log(noise * unigram)
-        grads = {k: np.full_like(getattr(model, k), 1e-6) for k in ("context", "near", "far", "out", "bias")}
+        return model, LogBilinear(*(np.full_like(x, 1e-6) for x in model.arrays()))
+
+    @staticmethod
+    def train(history: np.ndarray, target: np.ndarray, unigram: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, seed: int = 0) -> LogBilinear:
+        model, seen = LogBilinear.start(unigram, dim, seed)
+        for epoch in range(epochs):
+            model.learn(seen, history, target, unigram, seed=(seed, epoch))
+        return model
 
-        def step(name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
-            """AdaGrad, on the given rows."""
-            value, seen = getattr(model, name), grads[name]
-            at = slice(None) if rows is None else rows
-            seen[at] += grad * grad
-            value[at] -= rate * grad / np.sqrt(seen[at])
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.near, self.far, self.out, self.bias
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.arrays()])
+
+    def filled(self, flat: np.ndarray) -> LogBilinear:
+        """A network of the same shapes from what ``flat`` gave."""
+        ends = np.cumsum([x.size for x in self.arrays()])[:-1]
+        return LogBilinear(*(x.reshape(y.shape).copy() for x, y in zip(np.split(flat, ends), self.arrays(), strict=True)))
+
+    def learn(self, seen: LogBilinear, history: np.ndarray, target: np.ndarray, unigram: np.ndarray, noise: int = 64, batch: int = 1024, rate: float = 0.1, seed: tuple[int, ...] = (0,)) -> None:
+        """One pass of noise-contrastive estimation: tell each target from
+        ``noise`` outputs drawn from the unigram distribution (one draw serves a
+        whole batch, so that scores are matrix products), with AdaGrad steps over
+        ``seen``. ``history``: (n, 2) far and near."""
+        rng = np.random.default_rng(seed)
+        size, kind = len(unigram), np.float32
+        log_noise = np.log(noise * unigram)
         cumulated = np.cumsum(unigram)
-        for _ in range(epochs):
-            order = rng.permutation(len(target))
-            for k in range(0, len(order), batch):
-                pick = order[k : k + batch]
-                n = len(pick)
-                f, h, w = history[pick, 0], history[pick, 1], target[pick]
-                drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise) * cumulated[-1]), size - 1)
-                ef, eh = model.context[f], model.context[h]
-                q = ef @ model.far + eh @ model.near
-                ow, od = model.out[w], model.out[drawn]
-                right = (q * ow).sum(1) + model.bias[w] - log_noise[w]
-                wrong = q @ od.T + model.bias[drawn] - log_noise[drawn]
-                gr = (1 / (1 + np.exp(-np.clip(right, -30, 30))) - 1) / n
-                gw = 1 / (1 + np.exp(-np.clip(wrong, -30, 30))) / n
-                gq = gr[:, None] * ow + gw @ od
-                rows = np.r_[w, drawn]
-                out_rows, back = np.unique(rows, return_inverse=True)
-                g_out = _sums(back, np.r_[gr[:, None] * q, gw.T @ q], len(out_rows))
-                g_bias = np.bincount(back, np.r_[gr, gw.sum(0)], len(out_rows))
-                in_rows, back = np.unique(np.r_[f, h], return_inverse=True)
-                g_in = _sums(back, np.r_[gq @ model.far.T, gq @ model.near.T], len(in_rows))
-                step("far", ef.T @ gq)
-                step("near", eh.T @ gq)
-                step("out", g_out, out_rows)
-                step("bias", g_bias, out_rows)
-                step("context", g_in, in_rows)
-        return model
+        order = rng.permutation(len(target))
+        history, target = history[order], target[order]
+        for k in range(0, len(order), batch):
+            f, h, w = (x.astype(np.int64) for x in (history[k : k + batch, 0], history[k : k + batch, 1], target[k : k + batch]))
+            n = len(w)
+            drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise) * cumulated[-1]), size - 1)
+            context, out, near, far = (x.astype(kind) for x in (self.context, self.out, self.near, self.far))
+            bias = (self.bias - log_noise).astype(kind)
+            ef, eh = context[f], context[h]
+            q = ef @ far + eh @ near
+            ow, od = out[w], out[drawn]
+            right = (q * ow).sum(1) + bias[w]
+            gw = q @ od.T
+            gw += bias[drawn]
+            np.exp(np.negative(np.clip(gw, -30, 30, out=gw), out=gw), out=gw)  # in place: the largest array of the pass
+            gw += 1
+            np.divide(kind(1 / n), gw, out=gw)
+            gr = (1 / (1 + np.exp(-np.clip(right, -30, 30))) - 1) / n
+            gq = gr[:, None] * ow + gw @ od
+            g_out = _sums(np.r_[w, drawn], np.r_[gr[:, None] * q, gw.T @ q], size)
+            g_bias = np.bincount(np.r_[w, drawn], np.r_[gr, gw.sum(0)], size)
+            g_context = _sums(np.r_[f, h], np.r_[gq @ far.T, gq @ near.T], size + 1)
+            for value, squares, grad in zip(self.arrays(), seen.arrays(), (g_context, eh.T @ gq, ef.T @ gq, g_out, g_bias), strict=True):
+                squares += grad * grad
+                value -= rate * grad / np.sqrt(squares)
 
     def normaliser(self, step: int = 4096) -> np.ndarray:
         """log of the sum over outputs for every context (far, near), by batched
@@ -217,11 +241,80 @@ class TextModel:
         return known, base, score, rare
 
 
-def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, classes: int = CLASSES, common: int = COMMON, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
+def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, shards: int) -> DataFrame:
+    """``shard, parts``: all tokens of ``training (doc_id, text)`` as outputs, a
+    row per shard. A part is two outputs of context (``start`` before a text) and
+    at most ``PART`` tokens; parts are dealt by a hash of what they are, and a
+    shard has them in order, so neither depends on how the table is stored."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, part, codes = [], [], []
+            for k, text in enumerate(batch.column(1)):
+                t = np.array([start, start, *map(output, tokens(text.as_py())), 0], np.int16)
+                for number, at in enumerate(range(0, len(t) - 2, PART)):
+                    of.append(k)
+                    part.append(number)
+                    codes.append(t[at : at + PART + 2].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(part, pa.int64()), pa.array(codes, pa.binary())], names=["doc_id", "part", "codes"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        parts = table.sort_by([("doc_id", "ascending"), ("part", "ascending"), ("codes", "ascending")]).column("codes").to_pylist()
+        return pa.table({"shard": table.column("shard").slice(0, 1), "parts": pa.array([parts], pa.list_(pa.binary()))})
+
+    kind = training.schema["doc_id"].dataType.simpleString()
+    rows = training.select("doc_id", "text").mapInArrow(coded, f"doc_id {kind}, part long, codes binary")
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "codes"), F.lit(shards))).groupBy("shard").applyInArrow(gather, "shard long, parts array<binary>")
+
+
+def examples_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """History (far, near) and targets of parts."""
+    codes = [np.frombuffer(x, np.int16) for x in parts]
+    return np.concatenate([np.stack([t[:-2], t[1:-1]], 1) for t in codes]), np.concatenate([t[2:] for t in codes])
+
+
+def learn_network(training: DataFrame, output: Callable[[bytes], int], unigram: np.ndarray, shards: int, epochs: int = EPOCHS) -> LogBilinear:
+    """The network that ``epochs`` passes over all of ``training`` give. With one
+    shard these are plain passes; with more, parameters and squared gradients are
+    averaged after each, weighted by tokens."""
+    model, seen = LogBilinear.start(unigram)
+    if not shards:
+        return model
+    spark = training.sparkSession
+    held = write_shared(shards_of(training, output, len(unigram), shards), "lm-shards")
+    groups = math.isqrt(shards - 1) + 1
+
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        n = table.column("n").to_numpy()
+        state = sum(np.frombuffer(x.as_py(), np.float32).astype(float) * k for x, k in zip(table.column("state"), n, strict=True)) / n.sum()
+        return pa.table({"shard": table.column("shard").slice(0, 1), "n": pa.array([n.sum()], pa.int64()), "state": pa.array([state.astype(np.float32).tobytes()], pa.binary())})
+
+    for epoch in range(epochs):
+        now = spark.sparkContext.broadcast((model, seen))
+
+        def learn(batches: Iterator[pa.RecordBatch], epoch: int = epoch, now=now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    own, squares = (x.filled(x.flat()) for x in now.value)
+                    history, target = examples_of(parts.as_py())
+                    own.learn(squares, history, target, unigram, seed=(epoch, shard))
+                    state = np.r_[own.flat(), squares.flat()].astype(np.float32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(target)], pa.int64()), pa.array([state], pa.binary())], names=["shard", "n", "state"])
+
+        schema = "shard long, n long, state binary"
+        means = held.mapInArrow(learn, schema).groupBy(F.col("shard") % groups).applyInArrow(mean, schema).toArrow()
+        flat = np.frombuffer(mean(means).column("state")[0].as_py(), np.float32).astype(float)
+        half = len(flat) // 2
+        model, seen = model.filled(flat[:half]), seen.filled(flat[half:])
+    return model
+
+
+def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, classes: int = CLASSES, common: int = COMMON, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, learnt (``learn``),
     n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    Learning uses the rows where ``learn`` holds. A null text is empty and has
+    Learning uses all rows where ``learn`` holds. A null text is empty and has
     one token, its end. Rows that repeat count each. Without rows to learn from,
     all counts are 0, the base is uniform over nothing known, and the network is
     its untrained start. Other columns are ignored; an empty table gives an
@@ -272,25 +365,10 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
     unigram /= unigram.sum()
 
     number = {w: k + 1 for k, w in enumerate(words[:short])}
-    rate = min(1.0, 0.9 * train_tokens / max(total, 1))
-    sample = training if rate == 1 else training.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 30)) < int(rate * (1 << 30)))
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.array([*(number.get(w) or shortlist + 1 + ending_class(w, classes) for w in tokens(t)), 0], np.int16).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "codes"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text").mapInArrow(coded, f"doc_id {kind}, codes binary").toArrow().sort_by([("doc_id", "ascending"), ("codes", "ascending")])
-    history, target = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-    for x in rows.column("codes").to_pylist():
-        t = np.frombuffer(x, np.int16).astype(np.int64)
-        h = np.r_[outputs, outputs, t[:-1]]
-        history.append(np.stack([h[:-1], h[1:]], 1))
-        target.append(t)
-    network = LogBilinear.train(np.concatenate(history), np.concatenate(target), unigram)
+    network = learn_network(training, lambda w: number.get(w) or shortlist + 1 + ending_class(w, classes), unigram, -(-total // shard_tokens))
     model = TextModel(words, output, inside, np.r_[ends, c], network, network.normaliser(), total, distinct, classes, shortlist)
     shared = spark.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
