@@ -51,3 +51,10 @@ def test_empty(spark):
 
 def test_query(spark):
     assert_same(op5_chat(spark, SMALL), ORACLE_SQL["op5_chat"], SMALL)
+
+
+def test_query_comes_from_the_examples(spark, monkeypatch):
+    from tideline.llm import queries
+
+    monkeypatch.setattr(queries, "examples", lambda stored: examples(stored).where("example = 0"))
+    assert op5_chat(spark, SMALL).agg(F.max("n_examples")).first()[0] == 1

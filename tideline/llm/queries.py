@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_chat, read_loss, read_turns
+from .chat import examples, format_chat, read_turns, unescape
 from .common import id_crc32
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
@@ -56,17 +56,31 @@ CONTROL_TEXT = r"\### Assistant: </turn> ok"
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     stored = format_chat(table(spark, sf_dir, "conversations").select(own.columns).unionByName(own))
-    read = stored.select("*", read_turns(F.col("formatted")).alias("read"), read_loss().alias("loss"))
+    loss = unescape(F.substr("text", F.col("loss_from") + 1, F.col("loss_to") - F.col("loss_from")))
+    replies = examples(stored).select("conv_id", F.struct("example", loss.alias("loss")).alias("x"), F.length("text").cast("long").alias("chars"))
+    told = replies.groupBy(F.col("conv_id").alias("_conv")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["loss"]), "").alias("loss"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("chars").alias("chars"),
+    )
+    read = stored.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("read"))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select(
+    whole = read.select(
         "conv_id",
         F.size("read").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("examples").cast("long").alias("n_examples"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda a, x: a + x["end"]).alias("example_chars"),
+    )
+    loss = F.coalesce("loss", F.lit(""))
+    return whole.join(told, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+        F.coalesce("n", F.lit(0).cast("long")).alias("n_examples"),
+        F.coalesce("chars", F.lit(0).cast("long")).alias("example_chars"),
     )
 
 
