@@ -125,3 +125,10 @@ def test_scan_edge_cases(spark, rows):
     got = scan_licenses(df).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in got} == {1, None}
     assert scan_licenses(df.where("false")).count() == 0
+
+
+def test_notices_that_save_no_bytes():
+    filler = "Plain words about a river and its old bridges near the town. " * 13
+    for said, name in [("SPDX-License-Identifier: MIT", "MIT"), ("License: MIT", "MIT"), ("Licence: ISC", "ISC"), ("SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0")]:
+        for text in (said, f"{filler}{said}. {filler}"):
+            assert found(text) == [(name, "notice")], said

@@ -3,7 +3,7 @@
 A candidate block is a stretch of lines around words that licences use. It is
 compressed with zstandard, once alone and once for each licence with that
 licence's wordings as the raw dictionary; the licences are ranked by how much
-their dictionary saves. The ranking only proposes: a winner is confirmed by its
+their dictionary saves. The ranking only orders, and every licence is tried: a winner is confirmed by its
 exact wording differences, the words of a wording that the block lacks and those
 that the block has more. What is confirmed leaves the block, and what remains
 left and right of it is looked at again, so blocks with several licences give
@@ -16,6 +16,7 @@ without a cue never reach Python.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -51,11 +52,12 @@ _DECISIVE = re.compile(r".*\d|lesser|affero|by|sa|nc|nd|noncommercial|sharealike
 
 @dataclass(frozen=True)
 class Wording:
-    """A whole licence text; ``gaps``: numbers of the words before which other
+    """A whole licence text; ``counts``: of its words; ``gaps``: numbers of the words before which other
     words may stand."""
 
     words: tuple[str, ...]
     gaps: frozenset[int]
+    counts: Counter = field(compare=False)
 
 
 @dataclass
@@ -79,7 +81,7 @@ def _wording(text: str) -> Wording:
             gaps.add(len(words))
         else:
             words.append(w)
-    return Wording(tuple(words), frozenset(gaps))
+    return Wording(tuple(words), frozenset(gaps), Counter(words))
 
 
 def _compressor(dictionary: bytes | None) -> zstandard.ZstdCompressor:
@@ -104,12 +106,12 @@ def _plain() -> zstandard.ZstdCompressor:
 
 
 def rank(block: str) -> list[tuple[int, License]]:
-    """Licences by the bytes that their dictionary saves, most first; those that
-    save nothing are left out, ties are in order of the licence list."""
+    """All licences by the bytes that their dictionary saves, most first; ties are
+    in order of the licence list."""
     data = " ".join(block.split()).encode("utf-8", "replace")
     alone = len(_plain().compress(data))
     saved = [(alone - len(x.compressor.compress(data)), x) for x in licenses()]
-    return sorted((s for s in saved if s[0] > 0), key=lambda s: -s[0])
+    return sorted(saved, key=lambda s: -s[0])
 
 
 @cache
@@ -156,9 +158,10 @@ def confirm(found: License, words: list[str]) -> tuple[str, int, int, list[str],
     """Kind and place of what the words hold of the licence, if anything: a whole
     text with few differences of which none is decisive, or else a notice, which
     stands there word by word or not at all."""
+    held = Counter(words)
     for wording in found.texts:
-        if len(wording.words) > 2 * len(words):
-            continue
+        if (wording.counts - held).total() > TOLERANCE * len(wording.words):
+            continue  # so many are missing wherever it may stand
         at = differences(wording, words)
         if at is None:
             continue
@@ -204,8 +207,8 @@ def scan_block(block: str) -> list[Finding]:
                 best = (saved, candidate, got)
         if best is None:
             if start == 0 and end == len(block):
-                nearest = ranking[0] if ranking else (0, None)
-                out.append(Finding(start, end, None, nearest[1].name if nearest[1] else None, None, nearest[0]))
+                top, nearest = ranking[0]
+                out.append(Finding(start, end, None, nearest.name if top > 0 else None, None, max(top, 0)))
             continue
         saved, candidate, (kind, first, last, missing, extra) = best
         a, b = start + places[first][0], start + places[last - 1][1]
