@@ -8,7 +8,7 @@ import pytest
 
 from tideline.llm.html_extraction import best_run, default_weights, extract, main_text
 from tideline.llm.license_scan import rank, scan_licenses, scan_text
-from tideline.llm.license_texts import LICENSES
+from tideline.llm.license_texts import LEADS, LICENSES
 
 
 def test_best_run_is_the_best():
@@ -132,3 +132,16 @@ def test_notices_that_save_no_bytes():
     for said, name in [("SPDX-License-Identifier: MIT", "MIT"), ("License: MIT", "MIT"), ("Licence: ISC", "ISC"), ("SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0")]:
         for text in (said, f"{filler}{said}. {filler}"):
             assert found(text) == [(name, "notice")], said
+
+
+def test_every_lead_with_every_name():
+    for name, (_, names) in LICENSES.items():
+        for n in names:
+            for lead in LEADS:
+                for the in ("", "the "):
+                    said = f"{lead} {the}{n}"
+                    if re.search("licen|spdx", said, re.I):
+                        continue
+                    assert found(f"Words before.\n{said}.\n\nWords after.") == [(name, "notice")], said
+    assert found("Licensed under the MIT License. Covered by ISC.") == [("MIT", "notice"), ("ISC", "notice")]
+    assert found("They are subject to change, and mit means with.") == []

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER
 from .license_texts import LEADS, LICENSES
 
-CUE = r"(?i)licen[sc]|copyright|©|spdx|warrant|public domain|creative commons|cc[ -]by|cc0|gpl"
 #: Characters between cues of one block, and around them.
 REACH = 400
 #: Wrapped lines have at most so many characters, and of those that follow or precede a cue's so many belong to it.
@@ -43,7 +42,6 @@ OVERLAP = 4_096
 TOLERANCE = 0.08
 CACHE_BLOCKS = 20_000
 
-_CUE = re.compile(CUE)
 _LOWER = str.maketrans(UPPER, LOWER)
 _WORD = re.compile(r"\*|[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Words by which licences differ although most of their wording is the same.
@@ -74,6 +72,20 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.translate(_LOWER))
 
 
+def _any_of(phrases: set[str]) -> str:
+    """A pattern for the phrases' words with anything between them."""
+    return "|".join(sorted({_BETWEEN.join(re.escape(w) for w in words_of(p)) for p in phrases}))
+
+
+_BETWEEN = "[^a-zA-Z0-9]+"
+#: Words that licences use, and every notice: a lead before a name. Leads or names alone are common words.
+CUE = (
+    r"(?i)licen[sc]|copyright|©|spdx|warrant|public domain|creative commons|cc[ -]by|cc0|gpl"
+    rf"|(?:{_any_of(set(LEADS))}){_BETWEEN}(?:the{_BETWEEN})?(?:{_any_of({n for _, names in LICENSES.values() for n in names})})"
+)
+_CUE = re.compile(CUE)
+
+
 def _wording(text: str) -> Wording:
     words, gaps = [], set()
     for w in words_of(text):
