@@ -145,3 +145,17 @@ def test_every_lead_with_every_name():
                     assert found(f"Words before.\n{said}.\n\nWords after.") == [(name, "notice")], said
     assert found("Licensed under the MIT License. Covered by ISC.") == [("MIT", "notice"), ("ISC", "notice")]
     assert found("They are subject to change, and mit means with.") == []
+
+
+def test_whole_texts_far_from_their_cue():
+    zlib = LICENSES["Zlib"][0][0]
+    paragraphs = re.sub(r" (?=In no event|Permission is|[123]\. )", "\n\n", " ".join(zlib.split()))
+    assert paragraphs.count("\n\n") == 5
+    filler = "Plain words about a river and its old bridges near the town. " * 20
+    for text in (paragraphs, f"{filler}\n\n{paragraphs}\n\n{filler}", " ".join(zlib.split()) + " " + filler):
+        assert found(text) == [("Zlib", "text")]
+    for name in ("MIT", "BSD-3-Clause", "ISC", "Apache-2.0"):
+        spaced = re.sub(r"(?<=[.:;,]) ", "\n\n", " ".join(LICENSES[name][0][0].split()))
+        assert found(f"{filler}\n\n{spaced}\n\n{filler}") == [(name, "text")], name
+    gpl = LICENSES["GPL-3.0"][0][0]
+    assert ("GPL-3.0", "text") in found(gpl.replace("version 3", "version 7") + "\n\n" + filler + gpl)

@@ -1,6 +1,7 @@
 """Licence scans by conditional compression.
 
-A candidate block is a stretch of lines around words that licences use. It is
+A candidate block is a stretch of words around words that licences use, as long
+to either side as the longest wording, across blank lines. It is
 compressed with zstandard, once alone and once for each licence with that
 licence's wordings as the raw dictionary; the licences are ranked by how much
 their dictionary saves. The ranking only orders, and every licence is tried: a winner is confirmed by its
@@ -16,6 +17,7 @@ without a cue never reach Python.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +37,8 @@ REACH = 400
 #: Wrapped lines have at most so many characters, and of those that follow or precede a cue's so many belong to it.
 WRAPPED = 200
 FOLLOWING = 1_000
-#: A longer block is cut into overlapping ones.
+#: A longer block is cut into overlapping ones; in words for what is compared, in characters for what has no licence.
+BLOCK_WORDS = 2_400
 BLOCK = 16_384
 OVERLAP = 4_096
 #: Share of a whole text's words that may be missing or additional.
@@ -57,6 +60,11 @@ class Wording:
     gaps: frozenset[int]
     counts: Counter = field(compare=False)
 
+    @property
+    def slack(self) -> int:
+        """Additional words to look at on either side."""
+        return len(self.words) // 5 + 40 * len(self.gaps) + 12
+
 
 @dataclass
 class License:
@@ -143,15 +151,16 @@ def notice(found: License, words: list[str]) -> tuple[int, int] | None:
     return None
 
 
-def differences(wording: Wording, words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+def differences(wording: Wording, words: list[str]) -> tuple[int, int, list[str], list[str], tuple[int, int]] | None:
     """Where ``wording`` stands best in ``words``: first and last place (end
-    excluded), its words that are missing there, and additional ones."""
+    excluded), its words that are missing there, additional ones, and the place
+    of the longest match."""
     n = len(wording.words)
     matcher = SequenceMatcher(None, wording.words, words, autojunk=False)
     anchor = matcher.find_longest_match()
     if anchor.size < 4:
         return None
-    slack = n // 5 + 40 * len(wording.gaps) + 12
+    slack = wording.slack
     low = max(0, anchor.b - anchor.a - slack)
     near = words[low : anchor.b + n - anchor.a + slack]
     matches = [m for m in SequenceMatcher(None, wording.words, near, autojunk=False).get_matching_blocks() if m.size]
@@ -163,23 +172,27 @@ def differences(wording: Wording, words: list[str]) -> tuple[int, int, list[str]
             extra += near[b : m.b]
         a, b = m.a + m.size, m.b + m.size
     missing += wording.words[a:]
-    return low + matches[0].b, low + b, missing, extra
+    return low + matches[0].b, low + b, missing, extra, (anchor.b, anchor.b + anchor.size)
 
 
 def confirm(found: License, words: list[str]) -> tuple[str, int, int, list[str], list[str]] | None:
     """Kind and place of what the words hold of the licence, if anything: a whole
     text with few differences of which none is decisive, or else a notice, which
     stands there word by word or not at all."""
-    held = Counter(words)
     for wording in found.texts:
-        if (wording.counts - held).total() > TOLERANCE * len(wording.words):
-            continue  # so many are missing wherever it may stand
-        at = differences(wording, words)
-        if at is None:
-            continue
-        first, last, missing, extra = at
-        if len(missing) + len(extra) <= TOLERANCE * len(wording.words) and not any(_DECISIVE.fullmatch(w) for w in (*missing, *extra)):
-            return "text", first, last, missing, extra
+        parts = [(0, len(words))]
+        while parts:
+            low, high = parts.pop()
+            part = words[low:high]
+            if (wording.counts - Counter(part)).total() > TOLERANCE * len(wording.words):
+                continue  # so many are missing wherever it may stand
+            at = differences(wording, part)
+            if at is None:
+                continue
+            first, last, missing, extra, (a, b) = at
+            if len(missing) + len(extra) <= TOLERANCE * len(wording.words) and not any(_DECISIVE.fullmatch(w) for w in (*missing, *extra)):
+                return "text", low + first, low + last, missing, extra
+            parts += [(low + b, high), (low, low + a)]  # it may stand beside what is only like it
     at = notice(found, words)
     return at and ("notice", *at, [], [])
 
@@ -200,6 +213,7 @@ class Finding:
 
 
 def scan_block(block: str) -> list[Finding]:
+    """The confirmed licences of a block."""
     out: list[Finding] = []
     parts = [(0, len(block))]
     while parts:
@@ -218,9 +232,6 @@ def scan_block(block: str) -> list[Finding]:
             if got and (best is None or got[2] - got[1] > best[2][2] - best[2][1]):
                 best = (saved, candidate, got)
         if best is None:
-            if start == 0 and end == len(block):
-                top, nearest = ranking[0]
-                out.append(Finding(start, end, None, nearest.name if top > 0 else None, None, max(top, 0)))
             continue
         saved, candidate, (kind, first, last, missing, extra) = best
         a, b = start + places[first][0], start + places[last - 1][1]
@@ -229,8 +240,35 @@ def scan_block(block: str) -> list[Finding]:
     return sorted(out, key=lambda f: (f.start, f.end))
 
 
+@cache
+def reach() -> int:
+    """Words that the longest wording takes at most."""
+    return max(len(w.words) + w.slack for x in licenses() for w in x.texts)
+
+
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of a whole text that hold every wording around a cue whole."""
+    cues = [m.span() for m in _CUE.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(text.translate(_LOWER))] if cues else []
+    starts = [a for a, _ in places]
+    joined: list[list[int]] = []
+    for a, b in cues:
+        first = max(0, bisect_right(starts, a) - 1 - reach())
+        last = min(len(places), bisect_left(starts, b) + reach())
+        if joined and first <= joined[-1][1]:
+            joined[-1][1] = last
+        elif first < last:
+            joined.append([first, last])
+    for first, last in joined:
+        while last - first > BLOCK_WORDS:
+            yield places[first][0], places[first + BLOCK_WORDS - 1][1]
+            first += BLOCK_WORDS - reach()
+        yield places[first][0], places[last - 1][1]
+
+
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Candidate blocks of a whole text, at whole words or lines."""
+    """Blocks around cues, at whole words or lines, that are findings of their
+    own where no licence is confirmed."""
     n = len(text)
     start = end = -1
 
@@ -283,8 +321,9 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 def scan_text(text: str | None, known: dict[str, list[Finding]] | None = None) -> list[Finding]:
     """All findings in a whole text, in order. Blocks without a confirmed licence
     are findings without one; a null or empty text has none."""
-    out: dict[tuple, Finding] = {}
-    for start, end in blocks(text or ""):
+    text = text or ""
+    out: list[Finding] = []
+    for start, end in windows(text):
         block = text[start:end]
         found = known.get(block) if known is not None else None
         if found is None:
@@ -294,9 +333,21 @@ def scan_text(text: str | None, known: dict[str, list[Finding]] | None = None) -
                     known.clear()
                 known[block] = found
         for f in found:
-            moved = Finding(start + f.start, start + f.end, f.license, f.nearest, f.wording, f.saved_bytes, f.missing, f.extra)
-            out[moved.start, moved.end, moved.license] = moved
-    return sorted(out.values(), key=lambda f: (f.start, f.end, f.license or ""))
+            out.append(Finding(start + f.start, start + f.end, f.license, f.nearest, f.wording, f.saved_bytes, f.missing, f.extra))
+    kept: list[Finding] = []
+    for f in sorted(out, key=lambda f: (f.start, -f.end, f.license)):
+        if not kept or f.start >= kept[-1].end:
+            kept.append(f)
+        elif f.end - f.start > kept[-1].end - kept[-1].start:  # cut in the window before
+            kept[-1] = f
+    ends = [f.end for f in kept]
+    bare = []
+    for start, end in blocks(text):
+        k = bisect_right(ends, start)
+        if k == len(kept) or kept[k].start >= end:
+            top, nearest = rank(text[start:end])[0]
+            bare.append(Finding(start, end, None, nearest.name if top > 0 else None, None, max(top, 0)))
+    return sorted(kept + bare, key=lambda f: (f.start, f.end, f.license or ""))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
