@@ -12,7 +12,8 @@ from ..operators.ordinals import with_ordinal
 from ..sources import commands, config
 from ..sources.adapters import events_log, ops_events, ops_lineitem, ops_orders, table
 from ..sources.pairs import read_pairs, write_pairs
-from ..streaming.latest import shared_dir, stream_latest
+from ..sources.shared import shared_dir
+from ..streaming.latest import stream_latest
 
 #: Operations per run, level ratio, and page size that suit the test tables.
 FLUSH_EVERY, RATIO, PAGE_ROWS = 480, 2, 43

@@ -6,27 +6,12 @@ need no watermark: they change nothing once something newer is there.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``;
-    where that is unset and the session is local, a temporary one."""
-    context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+from ..sources.shared import shared_dir
 
 
 def stream_latest(ops: DataFrame, root: str | None = None) -> DataFrame:
