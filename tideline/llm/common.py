@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: For bytes.translate: A-Z to a-z, everything else unchanged.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent and the session is local (tests, a laptop)
-    is a temporary folder taken instead; on a cluster its absence is an error.
-    """
-    context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+@contextmanager
+def scratch(spark: SparkSession, label: str = "scratch") -> Iterator[str]:
+    """The operators called inside put their intermediate tables into one folder,
+    which is deleted at the end. Results are lazy: write them before that."""
+    path = f"{shared_dir(spark)}/tideline/{label}-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        delete_path(spark, path)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tideline/{label}-{uuid.uuid4().hex}"
+    """A new folder for an intermediate table: in that of ``scratch``, or else one
+    that is deleted when the driver ends."""
+    inside = _SCRATCH.get()
+    if inside:
+        return f"{inside}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tideline/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)  # only what exists can be marked
+    files.deleteOnExit(where)
+    return path
 
 
 def write_shared(df: DataFrame, label: str) -> DataFrame:
@@ -43,7 +53,7 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     lineage, survives lost executors, and fixes what is not deterministic."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,13 +62,62 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python workers a thousand rows at a time, where the session
-    has Spark's default of ten thousand: with long texts a batch of those holds
-    much memory on both sides."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Around an action: texts go to Python workers a thousand rows at a time,
+    where the session has Spark's default of ten thousand. With long texts a
+    batch of those holds much memory on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    before = spark.conf.get(name)
+    if before == "10000":
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+FILE, ROW = "_place_file", "_place_row"
+
+
+def _plans(docs: DataFrame) -> list:
+    out, todo = [], [docs._jdf.queryExecution().analyzed()]
+    while todo:
+        plan = todo.pop()
+        out.append(plan)
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return out
+
+
+def _as_stored(plan) -> bool:
+    """Whether a node of the plan leaves rows and columns as its files have them."""
+    if plan.nodeName() == "Project":
+        return all(plan.projectList().apply(i).getClass().getSimpleName() == "AttributeReference" for i in range(plan.projectList().size()))
+    return plan.nodeName() in ("LogicalRelation", "SubqueryAlias", "Filter")
+
+
+def with_place(docs: DataFrame, store: str | None = None) -> DataFrame:
+    """``docs`` with ``_place_file`` and ``_place_row``, which name a row's place
+    in its Parquet file, so that rows are told apart whatever ids they have.
+
+    A frame that is not a plain scan of files is written first: into the folder
+    ``store``, or as an intermediate table.
+    """
+    if sum(p.nodeName() == "LogicalRelation" for p in _plans(docs)) != 1 or not all(map(_as_stored, _plans(docs))):
+        if store is None:
+            docs = write_shared(docs, "documents")
+        else:
+            docs.write.parquet(store)
+            docs = docs.sparkSession.read.schema(docs.schema).parquet(store)
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumns({FILE: place.getField("file_path"), ROW: place.getField("row_index")})
 
 
 def ascii_lower(text: Column | str) -> Column:
@@ -112,14 +171,15 @@ class KeyFilter:
         )
 
 
-def without_keys(df: DataFrame, dropped: DataFrame, key: str, bits: int = 26) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in ``dropped`` (one column, ``key``).
+def without_keys(df: DataFrame, dropped: DataFrame, *keys: str, bits: int = 26) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` are not in ``dropped`` (columns ``keys``).
 
     Rows that the bitmap clears pass without a shuffle; only the maybes meet the
-    dropped keys in an anti-join. Rows with a null key stay.
+    dropped keys in an anti-join. Rows with a null among their keys stay.
     """
-    marked = KeyFilter.of(dropped, F.col(key), bits).split(df, F.col(key))
+    key = F.struct(*keys)
+    marked = KeyFilter.of(dropped, key, bits).split(df, key)
     clear = marked.where(~F.col("_maybe")).drop("_maybe")
     maybe = marked.where("_maybe").drop("_maybe")
-    kept = maybe.join(dropped.select(F.col(key).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_anti")
+    kept = maybe.join(dropped.select(*keys).distinct(), list(keys), "left_anti")
     return clear.unionByName(kept.select(*df.columns)).select(*df.columns)

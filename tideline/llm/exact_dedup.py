@@ -2,31 +2,38 @@
 
 A Structured Streaming query keeps one entry per content digest in a disk-backed
 (RocksDB) state store that never expires: the digest, the smallest stable
-identifier seen, that row's content locator, and the number of rows. Rows whose
-digest was seen before are hits, and every hit's full bytes are compared with the
-bytes behind the locator, so a digest collision cannot drop a document.
+identifier seen with that row's content locator, the locator of the first row
+taken in (the anchor), and the number of rows. Every later row of a digest is a
+hit, and its full bytes are compared with those behind the anchor's locator, so a
+digest collision cannot drop a document.
+
+The state goes on: calls with the same ``root`` append to one log, and the stream
+takes in what is new. An anchor never changes, so a hit is compared with the bytes
+of a row that an earlier call has taken in, read again from its file. Digests
+behind which texts differ are remembered, and their rows are told apart by bytes.
 
 Only DataFrame operations run on the executors. What moves is small: the digest
 log (no texts) goes through the stream; texts move only for rows that share a
-digest, chosen by a bitmap of fixed size, and meet their keeper in an equi-join
+digest, chosen by a bitmap of fixed size, and meet their anchor in an equi-join
 whose hot partitions adaptive execution splits.
 
 Defined results: a null text counts as the empty text; of equal texts the row
 with the smallest id stays, and of rows that repeat that id, the one that comes
 first by file and position; a null id ranks after all others; an empty table
 gives an empty result; further columns are carried by ``survivors`` and may have
-any name that does not start with ``_dedup_``.
+any name that does not start with ``_place_`` or ``_dedup_``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, new_path, write_shared
+from .common import FILE, ROW, KeyFilter, names_in, new_path, with_place, write_shared
 
 #: A run of ASCII white space other than one single space; replacing only these gives the same text and touches less.
 _ODD_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -47,41 +54,27 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_dedup_file`` and ``_dedup_row``, which name a row's place
-    in its Parquet file. A frame that is not a plain file scan is written to the
-    shared folder first, so that its rows have places."""
-    nodes, todo = [], [docs._jdf.queryExecution().analyzed()]
-    while todo:
-        plan = todo.pop()
-        nodes.append(plan.nodeName())
-        todo += [plan.children().apply(i) for i in range(plan.children().size())]
-    if not set(nodes) <= {"LogicalRelation", "SubqueryAlias", "Project", "Filter"}:
-        docs = write_shared(docs, "dedup-documents")
-    place = docs.metadataColumn("_metadata")
-    return docs.withColumns({"_dedup_file": place.getField("file_path"), "_dedup_row": place.getField("row_index")})
-
+def _state_schema(id_type: str) -> str:
+    return f"digest binary, first struct<no_id: boolean, doc_id: {id_type}, file: string, row: bigint>, anchor struct<call: int, file: string, row: bigint>, group_size bigint"
 
-def keyed_state(spark: SparkSession, log_path: str, log_schema, root: str) -> DataFrame:
-    """Run the stream over what is new in ``log_path`` and return the state:
-    ``digest, first (no_id, doc_id, file, row), group_size``.
 
-    The state lives under ``root``; calling it again with the same root takes in
-    only the log files that have come since, and finds all earlier digests.
-    """
-    changes = f"{root}/changes"
+def _run_stream(spark: SparkSession, log_schema, root: str) -> int:
+    """Take in what is new in the log under ``root``. Returns the number of the
+    last batch before this call; later ones have the entries that it touched."""
+    done = [int(x) for x in names_in(spark, f"{root}/checkpoint/commits") if x.isdigit()]
     state = (
         spark.readStream.schema(log_schema)
-        .parquet(log_path)
+        .parquet(f"{root}/log")
         .groupBy("digest")
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first"),
+            F.min(F.struct("call", "file", "row")).alias("anchor"),
             F.count(F.lit(1)).alias("group_size"),
         )
     )
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
 
     before = {k: spark.conf.get(k, None) for k in _ROCKSDB}
     for k, v in _ROCKSDB.items():
@@ -92,26 +85,47 @@ def keyed_state(spark: SparkSession, log_path: str, log_schema, root: str) -> Da
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    where = spark._jvm.org.apache.hadoop.fs.Path(changes)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    batches = len(files.listStatus(where)) if files.exists(where) else 0
-    id_type = log_schema["doc_id"].dataType.simpleString()
-    schema = f"digest binary, first struct<no_id: boolean, doc_id: {id_type}, file: string, row: bigint>, group_size bigint"
+    return max(done, default=-1)
+
+
+def read_state(spark: SparkSession, root: str, id_type: str = "bigint", after: int = -1) -> DataFrame:
+    """``digest, first, anchor, group_size``: the newest entries of the state under
+    ``root``, of all digests or of those that batches after ``after`` touched."""
+    schema = _state_schema(id_type)
+    batches = [x for x in names_in(spark, f"{root}/changes") if x.startswith("batch=") and int(x[6:]) > after]
     if not batches:
         return spark.createDataFrame([], schema)
-    found = spark.read.schema(f"{schema}, batch int").parquet(changes)
-    if batches == 1:
+    found = spark.read.schema(f"{schema}, batch int").option("basePath", f"{root}/changes").parquet(*(f"{root}/changes/{b}" for b in batches))
+    if len(batches) == 1:
         return found.drop("batch")
-    return found.groupBy("digest").agg(F.max_by("first", "batch").alias("first"), F.max_by("group_size", "batch").alias("group_size"))
+    return found.groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in ("first", "anchor", "group_size")))
+
+
+def fetch(spark: SparkSession, places: DataFrame, text_col: str) -> DataFrame:
+    """``places (file, row, ...)`` with ``norm``, the normalised text that stands
+    there. The files are listed by name, as for any scan; only their rows in
+    ``places`` pass the join."""
+    files = [r[0] for r in places.select("file").distinct().collect()]
+    if not files:
+        return places.withColumn("norm", F.lit(None).cast("string"))
+    # Locators are URIs, and readers take patterns.
+    named = ["".join(f"\\{c}" if c in "[]{}*?\\" else c for c in unquote(f)) for f in files]
+    held = spark.read.schema(f"`{text_col}` string").parquet(*named)
+    place = held.metadataColumn("_metadata")
+    held = held.select(place.getField("file_path").alias("file"), place.getField("row_index").alias("row"), normalised(F.col(text_col)).alias("norm"))
+    return held.join(places, ["file", "row"])
 
 
 @dataclass(frozen=True)
 class ExactDedup:
-    """``decisions``: a row per input row (doc_id, keep_id, group_size, kept,
-    digest, file, row). ``survivors``: the kept rows of the input as they were."""
+    """Of a call's rows: ``decisions``, a row per input row (doc_id, keep_id,
+    group_size, kept, digest, file, row), against all that the state has seen, and
+    ``survivors``: the kept rows of the input as they were. ``history``: decisions
+    on all rows of all calls so far, for an id that comes later may be smaller."""
 
     decisions: DataFrame
     survivors: Callable[[], DataFrame]
+    history: Callable[[], DataFrame]
 
 
 def exact_dedup(
@@ -127,33 +141,60 @@ def exact_dedup(
     ``digest`` maps the normalised text to the binary state key. A weak one is
     slow and still right: texts that differ behind one digest are told apart by
     their bytes. ``root`` names the folder of the streaming state (one of its
-    own by default).
+    own by default). With the same ``root``, ids, texts and digest must be of the
+    same kind, the files of earlier calls must still be there, each call's rows
+    count as new ones, and one call runs at a time.
     """
     spark = docs.sparkSession
     columns = docs.columns
-    placed = with_locator(docs)
+    root = (root or new_path(spark, "dedup-state")).rstrip("/")
+    call = 1 + max((int(x[5:]) for x in names_in(spark, f"{root}/log") if x.startswith("call=")), default=-1)
+    placed = with_place(docs, f"{root}/documents/call={call}")
     norm = normalised(F.col(text_col))
-    log_path = new_path(spark, "dedup-log")
-    log = placed.select(F.col(id_col).alias("doc_id"), digest(norm).alias("digest"), F.col("_dedup_file").alias("file"), F.col("_dedup_row").alias("row"))
-    log.write.parquet(log_path)
-    log = spark.read.schema(log.schema).parquet(log_path)
-    state = keyed_state(spark, log_path, log.schema, root or new_path(spark, "dedup-state"))
+    taken = placed.select(F.col(id_col).alias("doc_id"), digest(norm).alias("digest"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
+    taken.write.parquet(f"{root}/log/call={call}")
+    id_type = taken.schema["doc_id"].dataType.simpleString()
+    log_schema = f"doc_id {id_type}, digest binary, file string, row bigint"
+    taken = spark.read.schema(log_schema).parquet(f"{root}/log/call={call}")
+    last = _run_stream(spark, f"{log_schema}, call int", root)
+    state = read_state(spark, root, id_type, last)
 
     # Full bytes of the hits: only rows whose digest may be a repeated one are read for their text again.
-    repeated = state.where("group_size > 1").select("digest", "first")
+    repeated = state.where("group_size > 1").select("digest", "anchor")
     maybe = KeyFilter.of(repeated, F.col("digest"), filter_bits)
     marked = maybe.split(placed.withColumn("_dedup_norm", norm).withColumn("_dedup_digest", digest(F.col("_dedup_norm"))), F.col("_dedup_digest"))
     candidates = write_shared(marked.where("_maybe").drop("_maybe"), "dedup-candidates")
-    texts = candidates.select(F.col("_dedup_digest").alias("digest"), F.col("_dedup_file").alias("file"), F.col("_dedup_row").alias("row"), F.col("_dedup_norm").alias("norm"))
-    keeper = F.struct(F.col("file"), F.col("row"))
-    keepers = texts.join(
-        repeated.select(F.col("first.file").alias("file"), F.col("first.row").alias("row")), ["file", "row"], "left_semi"
-    ).select("digest", F.col("norm").alias("kept_norm"))
-    differs = write_shared(
-        texts.join(keepers, "digest").where("norm <> kept_norm").select("digest", keeper.alias("place"), "norm"), "dedup-collisions"
-    )
+    texts = candidates.select(F.col("_dedup_digest").alias("digest"), F.col(FILE).alias("file"), F.col(ROW).alias("row"), F.col("_dedup_norm").alias("norm"))
+    anchors = repeated.select("digest", "anchor.*")
+    known = texts.join(anchors.where(F.col("call") == call).select("file", "row"), ["file", "row"], "left_semi").select("digest", F.col("norm").alias("kept_norm"))
+    if call:
+        earlier = write_shared(anchors.where(F.col("call") < call).drop("call"), "dedup-anchors")
+        known = known.unionByName(fetch(spark, earlier, text_col).select("digest", F.col("norm").alias("kept_norm")))
+    differs = texts.join(known, "digest").where("norm <> kept_norm").select("digest").distinct()
+    differs.write.parquet(f"{root}/collided/call={call}")
+    collided = spark.read.schema("digest binary").option("recursiveFileLookup", "true").parquet(f"{root}/collided").distinct()
+
+    def every() -> DataFrame:
+        return spark.read.schema(f"{log_schema}, call int").option("basePath", f"{root}/log").parquet(f"{root}/log")
+
+    decisions = _decide(taken, state)
+    if not collided.isEmpty():
+        decisions = _by_bytes(decisions, taken, every(), collided, text_col)
+
+    def history() -> DataFrame:
+        found = _decide(every(), read_state(spark, root, id_type))
+        return found if collided.isEmpty() else _by_bytes(found, every(), every(), collided, text_col)
 
-    decisions = log.join(state, "digest", "left").select(
+    def survivors() -> DataFrame:
+        clear = marked.where(~F.col("_maybe")).select(*columns)
+        kept = decisions.where("kept").select(F.col("file").alias(FILE), F.col("row").alias(ROW))
+        return clear.unionByName(candidates.join(kept, [FILE, ROW], "left_semi").select(*columns))
+
+    return ExactDedup(decisions, survivors, history)
+
+
+def _decide(rows: DataFrame, state: DataFrame) -> DataFrame:
+    return rows.join(state, "digest", "left").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -162,26 +203,21 @@ def exact_dedup(
         "file",
         "row",
     )
-    if not differs.isEmpty():
-        decisions = _by_bytes(decisions, log, texts, differs)
-
-    def survivors() -> DataFrame:
-        clear = marked.where(~F.col("_maybe")).select(*columns)
-        kept = decisions.where("kept").select(F.col("file").alias("_dedup_file"), F.col("row").alias("_dedup_row"))
-        return clear.unionByName(candidates.join(kept, ["_dedup_file", "_dedup_row"], "left_semi").select(*columns))
-
-    return ExactDedup(decisions, survivors)
 
 
-def _by_bytes(decisions: DataFrame, log: DataFrame, texts: DataFrame, differs: DataFrame) -> DataFrame:
-    """Decisions anew for the digests behind which texts differ: grouped by the
-    bytes themselves, with partial aggregation before the shuffle."""
-    collided = differs.select("digest").distinct()
-    rows = texts.join(collided, "digest", "left_semi").join(log.select("doc_id", "file", "row"), ["file", "row"])
-    groups = rows.groupBy("digest", "norm").agg(
+def _by_bytes(decisions: DataFrame, rows: DataFrame, every: DataFrame, collided: DataFrame, text_col: str) -> DataFrame:
+    """``decisions`` on ``rows`` anew for the digests behind which texts differ:
+    all rows of these (``every``) are grouped by the bytes themselves, with partial
+    aggregation before the shuffle."""
+    spark = rows.sparkSession
+    affected = every.join(collided, "digest", "left_semi").select("doc_id", "digest", "file", "row")
+    texts = write_shared(fetch(spark, write_shared(affected, "dedup-affected"), text_col), "dedup-texts")
+    groups = texts.groupBy("digest", "norm").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first"), F.count(F.lit(1)).alias("group_size")
     )
-    again = rows.join(groups, ["digest", "norm"]).select(
+    of = texts.join(rows.select("file", "row"), ["file", "row"], "left_semi")
+    again = of.join(groups.withColumnRenamed("digest", "_digest").withColumnRenamed("norm", "_norm"), (F.col("digest") == F.col("_digest")) & (F.col("norm") == F.col("_norm")))
+    again = again.select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
