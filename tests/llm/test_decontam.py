@@ -56,6 +56,23 @@ def test_long_text_and_repeats(spark):
     check(spark, [(1, "z " * 20_000 + item + " z" * 9), (2, (item + " ") * 3)], [(1, item), (2, item)])
 
 
+def test_wholly_matching_text(spark):
+    """A long text all of whose words match, in time linear in its length."""
+    rng = random.Random(9)
+    item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(5_000))
+    check(spark, [(1, item), (2, f"{item} {item}")], [(1, item)])
+
+
+def test_items_without_id(spark):
+    docs = [(1, "a b c d e"), (2, "a b x y"), (3, "x y")]
+    found = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(None, "a b"), (None, "c d"), (7, "x y")], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in found.collect()) == [
+        (1, 4, 1, hashlib.sha256(b"").hexdigest()),
+        (2, 4, 2, hashlib.sha256(b"7").hexdigest()),
+        (3, 2, 1, hashlib.sha256(b"7").hexdigest()),
+    ]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate(docs.where("false"), items).count() == 0
@@ -67,6 +84,8 @@ def test_survivors_keep_columns(spark, rows):
     items = spark.createDataFrame([(1, "b c")], "item_id long, text string")
     kept = drop_contaminated(docs, items)
     assert kept.columns == docs.columns and rows(kept, "words") == [(6,), (7,)]
+    shared = spark.createDataFrame([(1, "a b c", 5), (1, "d e", 6), (None, "b c", 7), (None, "x", 8)], "doc_id long, text string, words int")
+    assert rows(drop_contaminated(shared, items), "words") == [(6,), (8,)]
 
 
 def test_query(spark):

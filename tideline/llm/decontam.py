@@ -8,8 +8,8 @@ left and right, as far as windows around its gram can reach, and counts only if
 the words agree over a whole window, so hash collisions change nothing.
 
 Only DataFrame functions run, in one pass over the texts. Arrays are shifted
-against each other (``zip_with``), so the work per word does not depend on a
-text's length. A document's fingerprints meet a bitmap of the items' fingerprints
+against each other (``zip_with``), and whether a gram is kept is asked at its
+place, so the work per word does not depend on a text's length. A document's fingerprints meet a bitmap of the items' fingerprints
 in their row, and only those that may match leave it.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, without_keys, write_shared
+from .common import FILE, ROW, ascii_lower, with_place, without_keys, write_shared
 
 WINDOW = 10
 GRAM = 4
@@ -67,9 +67,21 @@ def with_hashes(df: DataFrame, gram: int, out: str = "_h") -> DataFrame:
     return df.withColumn(out, F.slice("_g", 1, F.greatest(F.size("_words") - (gram - 1), F.lit(0))))
 
 
-def with_minima(df: DataFrame, width: int, source: str = "_h", out: str = "_min") -> DataFrame:
-    """The distinct smallest hashes of ``width`` neighbouring grams."""
-    return _doubling(df, source, "_m", width, lambda a, b: F.least(a, b)).withColumn(out, F.array_distinct("_m"))
+def with_minima(df: DataFrame, width: int, source: str = "_h", out: str = "_m") -> DataFrame:
+    """At each place the smallest hash of ``width`` neighbouring grams from there on."""
+    return _doubling(df, source, out, width, lambda a, b: F.least(a, b))
+
+
+def _kept_places(test, width: int) -> Column:
+    """Places (from 1) of the hashes for which ``test`` holds and that winnowing
+    keeps: those that are the smallest of one of the ``width`` windows that they
+    lie in."""
+
+    def kept(at: Column) -> Column:
+        first = F.greatest(at - (width - 1), F.lit(1))
+        return F.exists(F.slice("_m", first, at - first + 1), lambda m: m == F.get("_h", at - 1))
+
+    return F.filter(F.array_compact(F.transform("_h", lambda h, i: F.when(test(h), i + 1))), kept)
 
 
 def _bits(count: int) -> int:
@@ -88,7 +100,7 @@ def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, n_words, n_hit,
     n_items, items_sha256, contaminated.
 
@@ -96,8 +108,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     is one window, and one without words has none. A document's word inside any
     occurrence of a window is hit. Null texts have no words; rows of an item that
     repeat or share an item_id count as that one item; repeated documents get a
-    row each; empty tables give no rows, or documents without hits. Other columns
-    of both tables are ignored.
+    row each; empty tables give no rows, or documents without hits. An item
+    without an id counts in n_hit and as one in n_items, and adds nothing to
+    items_sha256. Other columns of both tables are ignored, but for those that
+    ``carry`` names, which stand before the others.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("_words"))
@@ -109,25 +123,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     keys = anchors.select("kind", "hash").distinct()
     counts = {r["kind"]: r["n"] for r in keys.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    base = docs.select("doc_id", words(F.col("text")).alias("_words")).withColumn("_rid", F.monotonically_increasing_id())
+    base = docs.select(*carry, "doc_id", words(F.col("text")).alias("_words")).withColumn("_rid", F.monotonically_increasing_id())
     found = []
     for kind in sorted(counts):
         base = _with_candidates(base, spark, keys.where(F.col("kind") == kind), counts[kind], kind, window, gram)
         found.append(f"_found_{kind}")
     together = F.concat(*found) if found else F.expr("cast(array() as array<struct<kind: int, hash: bigint, at: int, first: int, words: array<string>>>)")
-    scanned = write_shared(base.select("_rid", "doc_id", F.size("_words").cast("long").alias("n_words"), together.alias("found")), "decontam-scan")
+    scanned = write_shared(base.select(*carry, "_rid", "doc_id", F.size("_words").cast("long").alias("n_words"), together.alias("found")), "decontam-scan")
 
     met = scanned.select("_rid", F.explode("found").alias("f")).select("_rid", "f.*").join(anchors, ["kind", "hash"])
     spans = _extended(met, window, gram).distinct()
-    hit = spans.groupBy("_rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    hit = spans.groupBy("_rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("long")).alias("unnamed"))
     hit = hit.select(
         "_rid",
         F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))).cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
+        (F.size("items") + F.col("unnamed")).alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
     )
     none = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return scanned.select("_rid", "doc_id", "n_words").join(hit, "_rid", "left").select(
+    return scanned.select(*carry, "_rid", "doc_id", "n_words").join(hit, "_rid", "left").select(
+        *carry,
         "doc_id",
         "n_words",
         none.alias("n_hit"),
@@ -149,12 +164,10 @@ def _item_anchors(items: DataFrame, window: int, gram: int, short: list[int]) ->
     parts = []
     for kind, of in [(0, items.where(F.size("_words") >= window)), *((m, items.where(F.size("_words") == m)) for m in short)]:
         n = kind or gram
-        have = with_hashes(of, n)
-        if kind:
-            have = have.withColumn("_min", F.col("_h"))
-        else:
-            have = with_minima(have, window - gram + 1)
-        placed = have.select("item", "_words", F.explode(F.filter(F.transform("_h", lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("at"))), lambda x: F.array_contains("_min", x["hash"]))).alias("x"))
+        width = 1 if kind else window - gram + 1
+        have = with_minima(with_hashes(of, n), width)
+        at = _kept_places(lambda h: h.isNotNull(), width)
+        placed = have.select("item", "_words", F.explode(F.transform(at, lambda at: F.struct(F.get("_h", at - 1).alias("hash"), at.alias("at")))).alias("x"))
         first, size = _context(F.col("x.at"), n, 0 if kind else window - gram)
         parts.append(
             placed.select(F.lit(kind).alias("kind"), "x.hash", "item", F.col("x.at").alias("item_at"), first.alias("item_first"), F.slice("_words", first, size).alias("item_words"))
@@ -170,35 +183,21 @@ def _with_candidates(base: DataFrame, spark, keys: DataFrame, count: int, kind:
     item's, at all their places, with the words around."""
     n, bits, reach = kind or gram, _bits(count), 0 if kind else window - gram
     columns = base.columns
-    have = with_hashes(base, n)
-    have = have.withColumn("_min", F.array_distinct("_h")) if kind else with_minima(have, window - n + 1)
-    have = have.select(*columns, "_h", "_min").withColumn("_one", F.lit(0)).join(F.broadcast(_bitmap(keys, bits)), "_one", "left")
+    width = 1 if kind else window - n + 1
+    have = with_minima(with_hashes(base, n), width)
+    have = have.select(*columns, "_h", "_m").withColumn("_one", F.lit(0)).join(F.broadcast(_bitmap(keys, bits)), "_one", "left")
 
     def maybe(h: Column) -> Column:
         place = F.pmod(h, F.lit(1 << bits))
         word = F.get("_bitmap", F.shiftright(place, 6).cast("int"))
         return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    have = have.withColumn("_maybe", F.filter("_min", lambda h: h.isNotNull() & maybe(h)))
-
-    def place(h: Column, i: Column) -> Column:
-        first, size = _context(i + 1, n, reach)
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            h.alias("hash"),
-            (i + 1).alias("at"),
-            first.alias("first"),
-            F.lit(None).cast("array<string>").alias("words"),
-        )
-
-    places = F.filter(F.transform("_h", place), lambda x: F.array_contains("_maybe", x["hash"]))
-
-    def around(x: Column) -> Column:
-        first, size = _context(x["at"], n, reach)
-        return F.struct(x["kind"].alias("kind"), x["hash"].alias("hash"), x["at"].alias("at"), first.alias("first"), F.slice("_words", first, size).alias("words"))
+    def around(at: Column) -> Column:
+        first, size = _context(at, n, reach)
+        return F.struct(F.lit(kind).alias("kind"), F.get("_h", at - 1).alias("hash"), at.alias("at"), first.alias("first"), F.slice("_words", first, size).alias("words"))
 
-    empty = F.expr("cast(array() as array<struct<kind: int, hash: bigint, at: int, first: int, words: array<string>>>)")
-    return have.select(*columns, F.when(F.size("_maybe") > 0, F.transform(places, around)).otherwise(empty).alias(f"_found_{kind}"))
+    have = have.withColumn("_at", _kept_places(maybe, width))
+    return have.select(*columns, F.transform("_at", around).alias(f"_found_{kind}"))
 
 
 def _extended(met: DataFrame, window: int, gram: int) -> DataFrame:
@@ -225,7 +224,9 @@ def _extended(met: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` without the documents that share a window with an item."""
-    found = decontaminate(docs, benchmark, window, gram)
-    dropped = write_shared(found.where("contaminated").select("doc_id"), "decontam-dropped")
-    return without_keys(docs, dropped, "doc_id")
+    """``docs`` without the rows that share a window with an item, whatever their
+    ids: rows are told apart by their places in files."""
+    placed = with_place(docs)
+    found = decontaminate(placed, benchmark, window, gram, carry=(FILE, ROW))
+    dropped = write_shared(found.where("contaminated").select(FILE, ROW), "decontam-dropped")
+    return without_keys(placed, dropped, FILE, ROW).select(*docs.columns)
