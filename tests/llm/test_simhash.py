@@ -77,8 +77,23 @@ def test_components_of_a_long_path(spark, rows):
     assert connected_components(edges.where("false")).count() == 0
 
 
+def test_rows_without_ids_link_others(spark, rows):
+    """Fingerprints in a chain whose middle one only rows without an id have."""
+    from pyspark.sql import functions as F
+    from tideline.llm.simhash import _named
+
+    prints = spark.createDataFrame([(5, 0), (None, 0b111), (None, 0b111), (9, 0b111111), (None, 255 << 40)], "doc_id long, fp long")
+    named = _named(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"), 3, 4096)
+    assert rows(named, "fp", "least.doc_id") == [(0, 5), (0b111, 5), (0b111111, 5), (255 << 40, None)]
+    alone = simhash_components(spark.createDataFrame([(None, "a b c"), (None, "a b c")], "doc_id long, text string"))
+    assert [r["component_id"] for r in alone.collect()] == [None, None]
+
+
 def test_survivors(spark, rows):
     docs = [(4, "one two three four five six"), (2, "one two three four five six"), (9, "something else entirely is here"), (None, "one two three four five six")]
+    docs += [(2, "one two three four five six"), (9, "a text of its own which shares an id only"), (None, "nobody else says this at all"), (None, "nobody else says this at all")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, fp string")
-    assert rows(drop_near_duplicates(df), "doc_id") == [(2,), (9,), (None,)]
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert rows(kept, "doc_id", "text") == [(2, docs[0][1]), (9, docs[5][1]), (9, docs[2][1]), (None, docs[6][1])]
     assert drop_near_duplicates(df.where("false")).count() == 0

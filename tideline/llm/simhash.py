@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ASCII_LOWER, small_batches, without_keys, write_shared
+from .common import ASCII_LOWER, FILE, ROW, small_batches, with_place, without_keys, write_shared
 from .components import connected_components
 
 RADIUS = 3
@@ -51,16 +52,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the unsigned 64 bits in a signed long) of whole texts."""
+def fingerprints(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (the unsigned 64 bits in a signed long) of whole texts, and
+    the columns that ``carry`` names."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *carry)
+    names = [*rows.columns[1:], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(0)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], names=names)
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("fp", LongType())]))
 
 
 def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int = RADIUS, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -179,32 +182,45 @@ def _forest_in(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _named(prints: DataFrame, who: Column, radius: int, tile: int) -> DataFrame:
+    """``fp, least``: per fingerprint the least ``who`` of its component."""
+    nodes = write_shared(prints.groupBy("fp").agg(F.min(who).alias("least")), "simhash-nodes")
+    edges = write_shared(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, tile), "simhash-links")
+    found = connected_components(edges, "simhash-components")
+    # Only fingerprints with links need their component's least one.
+    linked = write_shared(nodes.join(found, F.col("fp") == F.col("node")).select("fp", "component", "least"), "simhash-linked")
+    best = linked.groupBy("component").agg(F.min("least").alias("best"))
+    moved = linked.select("fp", "component").join(best, "component").select(F.col("fp").alias("_fp"), "best")
+    return nodes.join(moved, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("best", "least").alias("least"))
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = 3, tile: int = TILE) -> DataFrame:
     """``doc_id, fp, component_id`` per row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most
     ``radius`` differing bits. Rows with equal fingerprints are one node, so any
     number of copies costs one comparison. A null text has no words and
-    fingerprint zero, which links as any other. A null doc_id takes part through
-    its fingerprint and never names a component. Further columns are ignored; an
+    fingerprint zero, which links as any other. A row without a doc_id takes part
+    through its fingerprint, links others and never names a component; one that
+    holds only such rows has a null component_id. Further columns are ignored; an
     empty table gives an empty result.
     """
-    prints = write_shared(fingerprints(docs, words), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = write_shared(nodes, "simhash-nodes")
-    edges = write_shared(links(nodes.where("node is not null"), radius, tile), "simhash-links")
-    found = connected_components(edges, "simhash-components")
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    with small_batches(docs.sparkSession):
+        prints = write_shared(fingerprints(docs, words), "simhash")
+    named = _named(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"), radius, tile)
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def hex_fp(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with its smallest
-    doc_id. Rows without an id stay."""
-    found = simhash_components(docs, radius, words)
-    dropped = write_shared(found.where("doc_id <> component_id").select("doc_id"), "simhash-dropped")
-    return without_keys(docs, dropped, "doc_id")
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest doc_id,
+    a null one last, and of rows that share it the first by file and position."""
+    placed = with_place(docs)
+    with small_batches(docs.sparkSession):
+        prints = write_shared(fingerprints(placed, words, (FILE, ROW)), "simhash")
+    named = _named(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW), radius, tile)
+    gone = prints.join(named, "fp").where((F.col(FILE) != F.col(f"least.{FILE}")) | (F.col(ROW) != F.col(f"least.{ROW}")))
+    return without_keys(placed, write_shared(gone.select(FILE, ROW), "simhash-dropped"), FILE, ROW).select(*docs.columns)
