@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from functools import cache
@@ -6,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tideline.llm.packing import WordTokenizer, best_fit, make_plan, pack, pack_documents
+from tideline.llm.packing import WordTokenizer, best_fit, enumerate_patterns, make_plan, pack, pack_documents
 from tideline.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -63,6 +64,32 @@ def test_hot_lengths_are_salted(spark):
     assert len(found) == 3000
 
 
+def test_rows_without_ids_are_salted(spark):
+    """One id, or none, and one length for all rows: salts part them all the same."""
+    df = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "0 as piece", "cast(700 as bigint) as length")
+    found = pack(df, rows_per_salt=10).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == 3000 and len({r["sequence_id"] for r in found}) == 1500
+
+
+def test_other_vocabularies_are_used_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a b": 1, "?": 0}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    other.save(str(tmp_path / "t.json"))
+    tokenizer = WordTokenizer(str(tmp_path / "t.json"))
+    assert not tokenizer.by_word and WordTokenizer(PATH).by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.ids(pa.array(["a b|a b", "x"]))] == [[1, 1], [0]]
+
+
+def test_patterns_are_all_enumerated():
+    present = [1, 2, 3, 5, 8, 13, 17, 20]
+    want = {tuple(sorted(p, reverse=True)) + (0,) * (3 - len(p)) for n in (1, 2, 3) for p in itertools.combinations_with_replacement(present, n) if sum(p) == 20}
+    got = [tuple(int(v) for v in p) for p in enumerate_patterns(np.array(present), 20)]
+    assert set(got) == want and len(got) == len(want)
+    assert len(enumerate_patterns(np.arange(1, 2049), 2048)) == 1 + 1024 + 349_525
+
+
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
@@ -82,4 +109,5 @@ def test_plans_hold_the_histogram(seed):
     assert (used == histogram).all()
     lower = -(-int((histogram * np.arange(2049)).sum()) // 2048)
     assert lower <= plan.sequences <= 1.02 * lower + 1
-    assert plan.sequences <= sum(n for n, _ in best_fit(histogram, 2048))
+    assert plan.bound == lower and plan.sequences <= sum(n for n, _ in best_fit(histogram, 2048))
+    assert plan.share > 0 or plan.sequences < make_plan(histogram, shares=(1.0, 0.75, 0.5, 0.25)).sequences  # best-fit alone only where it is better

@@ -15,6 +15,7 @@ no second shuffle gathers sequences.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, write_shared
 
 CAPACITY = 2048
+#: Parts of the fitted counts that plans are made with; 0 is best-fit alone.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 #: Words whose ids a Python worker keeps; it starts afresh beyond that.
 CACHE_WORDS = 200_000
 #: Texts whose words are numbered together.
@@ -42,14 +45,30 @@ _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SEPARATORS = r"[\x1c-\x1f]"
 
 
+# The settings of a vocabulary that parts texts as WordTokenizer does.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class WordTokenizer(dict):
     """Ids of whole texts, word by word; itself the cache of words.
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so
-    a text's ids are its white-space-separated words' ids in order, and words
-    recur. A batch's words are numbered by Arrow, each distinct one is looked up
-    once, and the ids are put together by Arrow. Texts with characters at which
-    Arrow parts words and the tokenizer doesn't go to the tokenizer whole.
+    Where the vocabulary's settings are those of ``_BY_WORD`` (``by_word``), its
+    pre-tokenizer never joins characters across white space, so a text's ids are
+    its white-space-separated words' ids in order, and words recur. A batch's
+    words are numbered by Arrow, each distinct one is looked up once, and the ids
+    are put together by Arrow. Texts with characters at which Arrow parts words
+    and the tokenizer doesn't go to the tokenizer whole, as do all texts if the
+    settings are others or added tokens hold white space.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
@@ -57,6 +76,9 @@ class WordTokenizer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        settings = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in settings.get("added_tokens", ())]
+        self.by_word = {k: settings.get(k) for k in _BY_WORD} == _BY_WORD and not any(c.isspace() for t in added for c in t)
         self.stems: dict[str, bytes] = {}
         self.cache_words = cache_words
 
@@ -99,6 +121,9 @@ class WordTokenizer(dict):
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text (no nulls)."""
+        if not self.by_word:
+            yield from (self.whole(t) for t in texts.to_pylist())
+            return
         odd = pc.match_substring_regex(texts, _SEPARATORS)
         words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         numbered = words.flatten().dictionary_encode()
@@ -139,26 +164,29 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             rest = [pa.array(c, t) for c, t in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([ids_of, *rest], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Sequences in groups: ``repeat`` sequences hold ``lengths`` each, in order."""
+    """Sequences in groups: ``repeat`` sequences hold ``lengths`` each, in order.
+    ``share``: how much of the fitted counts it takes (0: none of them);
+    ``bound``: sequences that any plan needs at least."""
 
     groups: list[tuple[int, tuple[int, ...]]]
+    share: float
+    bound: int
 
     @property
     def sequences(self) -> int:
         return sum(n for n, _ in self.groups)
 
 
-def enumerate_patterns(present: np.ndarray, capacity: int, most: int = 150_000) -> np.ndarray:
-    """Patterns of one to three of the lengths present that fill ``capacity``
-    exactly, as rows of up to three lengths (0: none). ``most`` bounds the
-    three-length ones, spread evenly over all of them."""
+def enumerate_patterns(present: np.ndarray, capacity: int) -> np.ndarray:
+    """All patterns of one to three of the lengths present that fill ``capacity``
+    exactly, as rows of up to three lengths (0: none). There are about
+    capacity ** 2 / 12 at most (350,000 at 2048)."""
     there = np.zeros(capacity + 1, bool)
     there[present] = True
     there[0] = False
@@ -169,17 +197,10 @@ def enumerate_patterns(present: np.ndarray, capacity: int, most: int = 150_000)
     two = a[(2 * a >= capacity) & (a < capacity)]
     two = two[there[capacity - two]]
     rows.append(np.stack([two, capacity - two, np.zeros_like(two)], 1))
-    x, y = np.meshgrid(a, a, indexing="ij")
-    x, y = x.ravel(), y.ravel()
-    z = capacity - x - y
-    good = (x >= y) & (y >= z) & (z > 0)
-    x, y, z = x[good], y[good], z[good]
-    good = there[z]
-    x, y, z = x[good], y[good], z[good]
-    if len(x) > most:
-        pick = np.linspace(0, len(x) - 1, most).astype(np.int64)
-        x, y, z = x[pick], y[pick], z[pick]
-    rows.append(np.stack([x, y, z], 1))
+    for x in a[(3 * a >= capacity) & (a < capacity - 1)]:
+        y = a[(a <= x) & (2 * a >= capacity - x) & (a < capacity - x)]
+        y = y[there[capacity - x - y]]
+        rows.append(np.stack([np.full_like(y, x), y, capacity - x - y], 1))
     return np.concatenate(rows)
 
 
@@ -251,16 +272,17 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[int, tuple[int,
     return [(n, lengths) for groups in spaces.values() for n, lengths in groups]
 
 
-def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """The plan with the fewest sequences among: fitted patterns rounded down,
-    half of them, and none, each with the rest packed best-fit."""
+def make_plan(histogram: np.ndarray, capacity: int = CAPACITY, shares: tuple[float, ...] = SHARES) -> Plan:
+    """The fitted patterns, rounded down, with the rest packed best-fit. A part of
+    the fitted counts, or none of them, are taken instead only where that gives
+    fewer sequences; ``Plan.share`` says so."""
     histogram = np.asarray(histogram, np.int64)
     patterns = enumerate_patterns(np.flatnonzero(histogram), capacity)
     fitted = fit_counts(patterns, histogram.astype(float))
     order = np.argsort(-fitted, kind="stable")
-    best = Plan(best_fit(histogram, capacity))
-    lower = -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
-    for share in (1.0, 0.5):
+    bound = -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
+    best = None
+    for share in shares:
         rest, groups = histogram.copy(), []
         for k in order:
             n = int(fitted[k] * share)
@@ -272,10 +294,11 @@ def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
                 groups.append((n, lengths))
                 for v in lengths:
                     rest[v] -= n
-        plan = Plan(groups + best_fit(rest, capacity))
-        # On a tie the fitted patterns go first: they leave no gaps in what they fill.
-        if plan.sequences < best.sequences or plan.sequences == best.sequences == lower:
+        plan = Plan(groups + best_fit(rest, capacity), share, bound)
+        if best is None or plan.sequences < best.sequences:
             best = plan
+        if best.sequences == bound:
+            break
     return best
 
 
@@ -305,9 +328,13 @@ def _places(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 1_000) -> DataFrame:
     """``found (doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``.
 
-    ``found`` must be stable (a table). Every row gets a place; rows that repeat
-    are packed each. An empty table gives an empty result.
+    Every row gets a place; rows that repeat, or have no id, are packed each. An
+    empty table gives an empty result.
     """
+    columns = found.columns
+    with small_batches(found.sparkSession):
+        # Rows get a number of their own, so that salts part them whatever ids they have.
+        found = write_shared(found.withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
     by_length = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)
     for k, n in by_length.items():
@@ -317,13 +344,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 1_000)
 
     # Every length has salts by its own count, so no task ranks much more than `rows_per_salt` rows of a common one.
     salts = F.array(*(F.lit(max(1, -(-int(n) // rows_per_salt))) for n in histogram))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.get(salts, F.col("length").cast("int"))))
     before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     order = "rows between unbounded preceding and 1 preceding"
     before = before.select("length", "_salt", F.expr(f"coalesce(sum(_n) over (partition by length order by _salt {order}), 0)").alias("_before"))
-    ranked = salted.withColumn("_rank", F.expr("row_number() over (partition by length, _salt order by doc_id, piece)"))
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).drop("_salt", "_before")
-    columns = [c for c in ranked.columns if c != "_rank"]
+    ranked = salted.withColumn("_rank", F.expr("row_number() over (partition by length, _salt order by _row)"))
+    ranked = ranked.join(before, ["length", "_salt"]).select(*columns, (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,5 +374,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     gapless from offset 0. Other columns are ignored; an empty table gives an
     empty result.
     """
-    found = write_shared(pieces(docs, tokenizer_path, capacity), "packing-pieces")
-    return pack(found, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    found = pack(pieces(docs, tokenizer_path, capacity), capacity)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
