@@ -45,6 +45,15 @@ def test_examples_are_prefixes_with_one_reply(spark):
     assert examples(format_chat(df.where("role = 'user'"))).count() == 0
 
 
+def test_many_turns(spark):
+    """Building the stored form is linear in the turns."""
+    n = 30_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    stored = format_chat(df.repartition(4)).select("formatted", F.size("turns").alias("turns"), F.element_at("examples", -1).alias("last")).first()
+    assert stored["turns"] == n and stored["last"]["end"] == len(stored["formatted"])
+    assert stored["formatted"][stored["last"]["from"] : stored["last"]["to"]] == f"t{n - 1}"
+
+
 def test_empty(spark):
     assert format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 

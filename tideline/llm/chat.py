@@ -11,16 +11,16 @@ so neither marker can come from a text, and unescaping gives back every text.
 
 An example of a conversation is a prefix of the whole conversation in this
 template, so what is stored per conversation is its formatted text once, with a
-span per turn and an end per example. ``examples`` expands that to one row per
-example; its size grows with the square of a conversation's turns, that of the
-stored form does not.
+span per turn and an end per example; that takes time linear in the turns.
+``examples`` expands it to one row per example. The examples' texts grow with the
+square of a conversation's turns, as prefixes do; the rows are made one at a time.
 
 Only DataFrame functions run on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "\n### ", ": ", " </turn>"
@@ -63,35 +63,21 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     role is empty. Rows with a null conv_id form one conversation. Other columns
     are ignored; an empty table gives an empty result.
     """
-    body = escape(F.coalesce(F.col("text"), F.lit("")))
-    shown = _role(F.coalesce(F.col("role"), F.lit("")))
-    rows = conversations.select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            F.coalesce("role", F.lit("")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
-            F.concat(F.lit(OPEN), shown, F.lit(MIDDLE)).alias("head"),
-            body.alias("body"),
-        ).alias("t"),
-    )
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    tail = len(CLOSE)
-    # Running lengths: one pass over the turns.
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, from: int, to: int, end: int, reply: boolean>>)").alias("spans"))
-
-    def step(state: Column, t: Column) -> Column:
-        first = state["at"]
-        begin = first + F.length(t["head"])
-        to = begin + F.length(t["body"])
-        span = F.struct(first.alias("start"), begin.alias("from"), to.alias("to"), (to + tail).alias("end"), (t["role"] == "assistant").alias("reply"))
-        return F.struct((to + tail).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    out = grouped.select(
-        "conv_id",
-        F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("t", start, step, lambda s: s["spans"]).alias("turns"),
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("head", F.concat(F.lit(OPEN), _role(F.col("role")), F.lit(MIDDLE))).withColumn("body", escape(F.col("text")))
+    # Where a turn ends is a running sum; the grouping takes over the window's partitioning. Ends grow, so they order the turns.
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("size", F.length("head") + F.length("body") + len(CLOSE)).withColumn("end", F.sum("size").over(in_order).cast("int"))
+    turn = F.struct(
+        "end",
+        (F.col("end") - F.col("size")).alias("start"),
+        (F.col("end") - len(CLOSE) - F.length("body")).alias("from"),
+        (F.col("end") - len(CLOSE)).alias("to"),
+        (F.col("role") == "assistant").alias("reply"),
+        F.concat("head", "body", F.lit(CLOSE)).alias("shown"),
     )
+    grouped = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    out = grouped.select("conv_id", F.array_join(F.transform("t", lambda t: t["shown"]), "").alias("formatted"), F.transform("t", lambda t: t.dropFields("shown")).alias("turns"))
     return out.withColumn("examples", F.transform(F.filter("turns", lambda s: s["reply"]), lambda s: F.struct(s["end"].alias("end"), s["from"].alias("from"), s["to"].alias("to"))))
 
 
