@@ -43,6 +43,8 @@ def test_toxicity_edge_cases(spark, rows):
     assert all(toxic[k] == bool(k % 2) for k in range(60)) and not toxic[None] and not toxic[70] and not toxic[71]
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 33
+    often = docs.where("doc_id = 1").crossJoin(spark.range(5000)).drop("id")
+    assert toxicity.fit_toxicity(docs.unionByName(often), labels, toxicity.label_categories()).thresholds == toxicity.fit_toxicity(docs, labels, toxicity.label_categories()).thresholds
     none = labels.where("false")
     assert toxicity.drop_toxic(docs, none).count() == docs.count()  # nothing learned, nothing rejected
     assert toxicity.drop_toxic(docs.where("false"), labels).count() == 0
@@ -71,6 +73,28 @@ def test_languages_edge_cases(spark):
     assert langid.identify_languages(docs.where("false"), model).count() == 0
 
 
+def test_letters_are_of_category_l():
+    assert langid.letters("½ ² Ⅷ ① 〇 _ 5 ٣") == []
+    assert langid.letters("Ab½c x² _Ÿ_ 中文 ª") == ["ab", "c", "x", "ÿ", "中文", "ª"]
+
+
+def test_rare_languages_are_learned():
+    rates = langid._rates({"a": 1_000_000, "b": 10, "c": 5_000}, 3000)
+    assert rates["b"] == 1 and sum(n * rates[k] for k, n in {"a": 1_000_000, "b": 10, "c": 5_000}.items()) == pytest.approx(3000)
+    assert rates["a"] * 1_000_000 == pytest.approx(1495) and rates["c"] * 5_000 == pytest.approx(1495)
+
+
+def test_columns_of_the_results_replace_others(spark):
+    docs = spark.createDataFrame([(1, "ein Hund", "x", True, "y"), (2, "½", "x", True, "y")], "doc_id long, text string, score string, accepted boolean, lang_pred string")
+    model = langid.fit_languages(docs.withColumn("lang", F.lit("de")), F.lit(True))
+    found = langid.identify_languages(docs, model)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score", "accepted"]
+    assert [(r["lang_pred"], r["score"]) for r in found.orderBy("doc_id").collect()] == [("de", 1.0), ("und", 0.0)]
+    chain = toxicity.train_chain([], np.zeros((0, 2)), ["low_quality", "toxic"])
+    scored = toxicity.score_toxicity(docs.withColumn("toxic", F.lit("t")).withColumn("p_toxic", F.lit(7)), chain)
+    assert scored.columns == [*docs.columns, "p_low_quality", "p_toxic", "toxic"] and not scored.where("toxic").count()
+
+
 def split(text):
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0d]+", lower)

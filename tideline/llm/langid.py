@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+
+from .common import small_batches
 
 #: Texts that a model is fitted on at most, chosen by a hash of the id.
 TRAIN_ROWS = 4000
@@ -31,7 +34,7 @@ DIM = 16
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ALPHANUMERIC = re.compile(r"[^\W\d_]+")
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +57,21 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def letters(text: str | None) -> list[str]:
-    """The runs of letters of a whole text, in lower case."""
-    return _LETTERS.findall((text or "").lower())
+    """The runs of letters (Unicode category L) of a whole text, in lower case."""
+    found = _ALPHANUMERIC.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # Numbers that are no digits (fractions, superscripts, numerals) part words.
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
+def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets, and the share of its grams that each has."""
+    n = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(words), 1 << 16):
+        n += np.bincount(word_grams(words[at : at + (1 << 16)])[1], minlength=BUCKETS)
+    ids = np.flatnonzero(n)
+    return ids, (n[ids] / n.sum()).astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -124,25 +140,16 @@ class LanguageModel:
         return names, score, has & (score >= self.threshold)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 0) -> LanguageModel:
-    """Stochastic gradient descent over texts; every fifth text is kept out, for
-    the temperature and the threshold. Texts without letters teach nothing. With
-    no texts every prediction is ``und``; with one language it is that one."""
-    docs = []
-    for text, lang in zip(texts, langs, strict=True):
-        if words := letters(text):
-            docs.append((words, lang))
-    languages = sorted({lang for _, lang in docs})
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 0) -> LanguageModel:
+    """Stochastic gradient descent over texts' bags; every fifth one is kept out,
+    for the temperature and the threshold. With no texts every prediction is
+    ``und``; with one language it is that one."""
+    languages = sorted(set(langs))
     k = len(languages)
     if k == 0:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    bags = []
-    for words, _ in docs:
-        n = np.bincount(word_grams(words)[1], minlength=BUCKETS)
-        ids = np.flatnonzero(n)
-        bags.append((ids, (n[ids] / n.sum()).astype(np.float32)))
-    y = np.array([languages.index(lang) for _, lang in docs])
-    kept_out = np.arange(len(docs)) % 5 == 4 if len(docs) >= 50 else np.zeros(len(docs), bool)
+    y = np.array([languages.index(lang) for lang in langs])
+    kept_out = np.arange(len(bags)) % 5 == 4 if len(bags) >= 50 else np.zeros(len(bags), bool)
     rng = np.random.default_rng(seed)
     embed = (rng.standard_normal((BUCKETS, DIM)) / DIM).astype(np.float32)
     weights, bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
@@ -181,15 +188,44 @@ def _rejection(score: np.ndarray, right: np.ndarray, precision: float = 0.99) ->
     return float(score[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0
 
 
+def _rates(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows to take, so that about ``most`` are taken
+    in all and no language gives more than it must: small ones are taken whole."""
+    rates, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        quota = left / (len(counts) - k)
+        rates[lang] = min(1.0, quota / n)
+        left -= n * rates[lang]
+    return rates
+
+
 def fit_languages(docs: DataFrame, use: Column, most: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on at most about ``most`` of the rows where ``use`` holds and both
-    text and lang are there, chosen by a hash of the id and the text."""
-    pool = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = pool.count()
-    if n > most:
-        pool = pool.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(900_000 * most / n))
-    rows = pool.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).limit(most).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    """Fit on about ``most`` (never more) of the rows where ``use`` holds, lang is
+    there and the text has letters, chosen by a hash of the id and language; each
+    language has an equal share as far as it has rows. Whole texts become bags of
+    grams on the executors; only these reach the driver."""
+    pool = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(counts.values()) > most:
+        # a tenth less than the share, so that the exact bound below cuts nothing in practice
+        rates = _rates(counts, 0.9 * most)
+        below = F.create_map(*(x for lang, r in rates.items() for x in (F.lit(lang), F.lit(int(1_000_000 * r)))))
+        pool = pool.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < below[F.col("lang")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if words := letters(batch.column(2)[k].as_py()):
+                    ids, share = bag(words)
+                    one = [pa.array([ids.astype("<u4").tobytes()], pa.binary()), pa.array([share.astype("<f4").tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *one], names=["doc_id", "lang", "ids", "share"])
+
+    with small_batches(docs.sparkSession):
+        rows = pool.mapInArrow(run, f"doc_id {pool.schema['doc_id'].dataType.simpleString()}, lang string, ids binary, share binary").limit(most).toArrow()
+    # Rows that share an id come in order of their bags; the order of training is drawn anew anyway.
+    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("ids", "ascending"), ("share", "ascending")])
+    bags = [(np.frombuffer(a.as_py(), "<u4").astype(np.int64), np.frombuffer(b.as_py(), "<f4")) for a, b in zip(rows.column("ids"), rows.column("share"), strict=True)]
+    return train(bags, rows.column("lang").to_pylist())
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -197,10 +233,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     lang_pred is a language of the model, or ``und`` (score 0, not accepted)
     where the text is null or has no letter. A doubtful prediction keeps its
-    language and has accepted = false. Columns of ``docs`` stay as they are.
+    language and has accepted = false. Columns of ``docs`` stay as they are, but
+    for those with the name of one of the three, which are replaced.
     """
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
+    docs = docs.drop("lang_pred", "score", "accepted")
     columns, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import examples, format_chat, read_turns, unescape
-from .common import id_crc32
+from .common import id_crc32, small_batches, write_shared
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extraction import extract
@@ -54,7 +54,7 @@ CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     stored = format_chat(table(spark, sf_dir, "conversations").select(own.columns).unionByName(own))
     loss = unescape(F.substr("text", F.col("loss_from") + 1, F.col("loss_to") - F.col("loss_from")))
     replies = examples(stored).select("conv_id", F.struct("example", loss.alias("loss")).alias("x"), F.length("text").cast("long").alias("chars"))
@@ -87,7 +87,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = fit_toxicity(docs, table(spark, sf_dir, "labels"), label_categories())
-    return score_toxicity(docs, chain).drop("text")
+    with small_batches(spark):
+        return write_shared(score_toxicity(docs, chain).drop("text"), "toxicity-scores")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

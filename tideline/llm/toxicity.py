@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import small_batches
+from .common import FILE, ROW, small_batches, with_place, without_keys, write_shared
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of the id.
 TRAIN_ROWS = 8000
@@ -236,39 +236,41 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], train_rows: int = TRAIN_ROWS) -> Chain:
-    """Fit a chain in the order of ``categories`` (name: 0/1 column of labels)."""
+    """Fit a chain in the order of ``categories`` (name: 0/1 column of labels).
+
+    A doc_id counts once: of several texts or labels of one, those with the least
+    features in binary order are taken."""
     names = list(categories)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            found = []
-            for at in range(0, len(texts), SLICE // 4):
-                part = texts.slice(at, SLICE // 4)
-                rows, ids = present(part.to_pylist())
-                found += [x.astype("<u4").tobytes() for x in np.split(ids, np.searchsorted(rows, np.arange(1, len(part))))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), *(batch.column(c) for c in names)], names=["doc_id", "found", *names])
+            for at in range(0, batch.num_rows, SLICE // 4):
+                part = batch.slice(at, SLICE // 4)
+                rows, ids = present(part.column("text").to_pylist())
+                found = [x.astype("<u4").tobytes() for x in np.split(ids, np.searchsorted(rows, np.arange(1, part.num_rows)))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary()), *(part.column(c) for c in names)], names=["doc_id", "found", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = sample_labelled(docs, labels, categories, train_rows)
-    rows = sample.mapInArrow(run, f"doc_id {kind}, found binary, {', '.join(f'`{c}` double' for c in names)}").toArrow()
+    with small_batches(docs.sparkSession):
+        rows = sample.mapInArrow(run, f"doc_id {kind}, found binary, {', '.join(f'`{c}` double' for c in names)}")
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("found", *names)).alias("x")).select("doc_id", "x.*").toArrow()
     if not rows.num_rows:
         return train_chain([], np.zeros((0, len(names))), names)
-    found = rows.column("found").combine_chunks()
-    data, ends = np.frombuffer(found.buffers()[2], "<u4"), np.frombuffer(found.buffers()[1], np.int32)[found.offset :] // 4
-    order = pc.sort_indices(rows.column("doc_id")).to_numpy()
-    buckets = [data[ends[k] : ends[k + 1]] for k in order]
+    order = pc.sort_indices(rows.column("doc_id")).to_pylist()
+    found = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("found")]
     y = np.stack([rows.column(c).to_numpy() for c in names], 1)[order]
-    return train_chain(buckets, y.astype(float), names)
+    return train_chain([found[k] for k in order], y.astype(float), names)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
     """``docs`` with a double column ``p_<category>`` for each category and
     boolean ``toxic``: whether the last category's probability reaches its
-    threshold. A null text is scored as the empty one."""
+    threshold. A null text is scored as the empty one. Columns of ``docs`` that
+    have the name of one of these are replaced."""
+    new = [*(prefix + c for c in chain.categories), "toxic"]
+    docs = docs.drop(*(c for c in new if c != "text"))
     columns = docs.columns
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(chain)
     at = columns.index("text")
 
@@ -276,12 +278,9 @@ def score_toxicity(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFra
         fitted = model.value
         for batch in batches:
             p = fitted.score_column(batch.column(at))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= fitted.thresholds[-1])],
-                names=[*columns, *(prefix + c for c in chain.categories), "toxic"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= fitted.thresholds[-1])], names=[*columns, *new])
 
-    schema = StructType([*docs.schema.fields, *(StructField(prefix + c, DoubleType()) for c in chain.categories), StructField("toxic", BooleanType())])
+    schema = StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in new[:-1]), StructField("toxic", BooleanType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -292,14 +291,10 @@ def label_categories() -> dict[str, Column]:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the chain calls toxic; no shuffle, all columns."""
+    """``docs`` without the rows that the chain calls toxic. Texts go to Python
+    and only the places of those rows come back; no shuffle, all columns."""
     chain = fit_toxicity(docs, labels, label_categories())
-    at = docs.columns.index("text")
-    model = docs.sparkSession.sparkContext.broadcast(chain)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        for batch in batches:
-            yield batch.filter(pa.array(fitted.score_column(batch.column(at))[:, -1] < fitted.thresholds[-1]))
-
-    return docs.mapInArrow(run, docs.schema)
+    placed = with_place(docs)
+    with small_batches(docs.sparkSession):
+        gone = write_shared(score_toxicity(placed.select(F.col("text").cast("string").alias("text"), FILE, ROW), chain).where("toxic").select(FILE, ROW), "toxicity-dropped")
+    return without_keys(placed, gone, FILE, ROW).select(*docs.columns)
