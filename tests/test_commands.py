@@ -65,6 +65,30 @@ def test_load(spark, tmp_path):
     assert [r["output"] for r in run_script(spark, lines).collect()] == ["11", "5", "-3:7 1:5 2:20 ", "Total Pairs: 3\nLVL1: 3\n-3:7:L01 1:5:L01 2:20:L01 "]
 
 
+def test_unreadable_file_ends_the_script(spark):
+    script = ["p 1 1", "g 1", 'l "missing"', "g 1", "p 1"]
+    lines = spark.createDataFrame(list(enumerate(script)), "ord int, line string")
+    assert [r["output"] for r in run_script(spark, lines).collect()] == ["1", "Could not read from file missing"]
+
+
+def test_files_in_text_out(spark, tmp_path):
+    from tideline.sources.driver import numbered_lines, printed, read_config
+
+    script = tmp_path / "in.txt"
+    script.write_text("".join(f"p {k} {k}\n" for k in range(500)) + "g 7\nr 1 3\ng 9999\np 1")
+    config = tmp_path / "config"
+    config.write_text("#x\nlsm.c0size=1000\n")
+    assert read_config(spark, str(config)).flush_every == 800
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        found = numbered_lines(spark, str(script))
+        assert found.rdd.getNumPartitions() >= 1
+        assert [tuple(r) for r in found.orderBy("ord").collect()] == list(enumerate(script.read_text().split("\n")))
+        assert "".join(printed(spark, str(script), str(config))) == f"7\n1:1 2:2 \n\n{PUT}"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_config(spark):
     got = parse_config("\n".join(CONFIG_LINES))
     assert got == Config(5, 1000, 4, 0.05)

@@ -6,7 +6,7 @@ keeps the expression in generated code and valid under ANSI mode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MASK = (1 << 32) - 1
@@ -28,11 +28,29 @@ def _folded(a: Column, by: int) -> Column:
     return a.bitwiseXOR(F.shiftrightunsigned(a, by))
 
 
-def murmur3_int(key: Column, seed: Column) -> Column:
-    """Unsigned 32-bit hash, as BIGINT, of a 4-byte key. A null key gives null."""
-    k = _times(_turned(_times(key.cast("long").bitwiseAND(F.lit(_MASK)), _C1), 15), _C2)
-    h = _turned(seed.cast("long").bitwiseXOR(k), 13)
-    h = (h * F.lit(5) + F.lit(_ADD)).bitwiseAND(F.lit(_MASK)).bitwiseXOR(F.lit(4).cast("long"))
-    h = _times(_folded(h, 16), _F1)
-    h = _times(_folded(h, 13), _F2)
-    return _folded(h, 16)
+def with_murmur3(df: DataFrame, key: Column, seed: Column, name: str) -> DataFrame:
+    """``df`` with the unsigned 32-bit hash, as BIGINT, of a 4-byte key. A null key
+    gives null.
+
+    Each step is a column of its own: steps name what they work on twice, and as
+    one expression the ten of them would grow to a thousand copies of the key.
+    """
+    k, h = f"_{name}_k", f"_{name}_h"
+    for step in (
+        lambda x: _times(x, _C1),
+        lambda x: _turned(x, 15),
+        lambda x: _times(x, _C2),
+    ):
+        df = df.withColumn(k, step(F.col(k) if k in df.columns else key.cast("long").bitwiseAND(F.lit(_MASK))))
+    df = df.withColumn(h, seed.cast("long").bitwiseXOR(F.col(k)))
+    for step in (
+        lambda x: _turned(x, 13),
+        lambda x: (x * F.lit(5) + F.lit(_ADD)).bitwiseAND(F.lit(_MASK)).bitwiseXOR(F.lit(4).cast("long")),
+        lambda x: _folded(x, 16),
+        lambda x: _times(x, _F1),
+        lambda x: _folded(x, 13),
+        lambda x: _times(x, _F2),
+        lambda x: _folded(x, 16),
+    ):
+        df = df.withColumn(h, step(F.col(h)))
+    return df.withColumn(name, F.col(h)).drop(k, h)

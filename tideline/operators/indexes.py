@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.murmur import murmur3_int
+from ..functions.murmur import with_murmur3
 from .ordinals import with_ordinal
 
 #: Records of a page, and bytes of a record.
@@ -30,7 +30,8 @@ def bloom_hashes(p: Column) -> Column:
 
 def bloom_positions(keys: DataFrame, bits: Column, hashes: Column) -> DataFrame:
     """``keys`` with a row per hash: ``i`` and ``bit``."""
-    return keys.withColumn("i", F.explode(F.sequence(F.lit(0), hashes - 1))).withColumn("bit", murmur3_int(F.col("key"), F.col("i")) % bits)
+    hashed = with_murmur3(keys.withColumn("i", F.explode(F.sequence(F.lit(0), hashes - 1))), F.col("key"), F.col("i"), "bit")
+    return hashed.withColumn("bit", F.col("bit") % bits)
 
 
 def bloom_filter(runs: DataFrame, bits: Column, hashes: Column) -> DataFrame:
@@ -39,13 +40,12 @@ def bloom_filter(runs: DataFrame, bits: Column, hashes: Column) -> DataFrame:
 
 
 def bloom_probe(filters: DataFrame, probes: DataFrame, bits: Column, hashes: Column) -> DataFrame:
-    """``key, run_id, maybe`` for every probe and run: whether all bits are set.
-    It joins on the bit; pairs that share no bit are filled in as "no"."""
+    """``key, run_id`` of the probes and runs that answer "maybe": all bits are
+    set. It joins on the bit; all other pairs are a certain "no" and have no row."""
     asked = bloom_positions(probes.select("key").distinct(), bits, hashes).select("key", "bit").distinct()
     need = asked.groupBy("key").agg(F.count(F.lit(1)).alias("need"))
     met = asked.join(filters, "bit").groupBy("key", "run_id").agg(F.count(F.lit(1)).alias("met"))
-    every = need.crossJoin(filters.select("run_id").distinct())  # the result has these rows
-    return every.join(met, ["key", "run_id"], "left").select("key", "run_id", F.coalesce(F.col("met") == F.col("need"), F.lit(False)).alias("maybe"))
+    return met.join(need, "key").where("met = need").select("key", "run_id")
 
 
 def fence_pages(runs: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:

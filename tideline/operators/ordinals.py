@@ -7,21 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the key range; a window numbers the rows of one bucket.
-BUCKETS = 2048
+from ..sources.shared import write_shared
+
+#: Two to this power buckets; a window numbers the rows of one bucket.
+BITS = 11
 
 
 def with_ordinal(df: DataFrame, within: list[str], key: str, name: str = "ord", start: int = 0, order: list[Column] | None = None) -> DataFrame:
     """``df`` with the place of each row by ``key`` among rows of equal ``within``.
 
-    The key range is cut into buckets, rows are counted per bucket, and a row's
-    number is the count of the buckets before its own plus its place within. The
-    windows over bucket counts see ``BUCKETS`` rows per group at most. ``key`` is
-    an integer column; ``order`` settles ties of it.
+    ``df`` is written once. Approximate quantiles of ``key`` cut it into buckets
+    of about equal size, wherever its values lie; rows are counted per bucket, and
+    a row's number is the count of the buckets before its own plus its place
+    within. The windows over bucket counts see a row per bucket and group. Rows
+    with the same key share a bucket; ``order`` settles their ties.
     """
-    span = df.agg(F.min(key).cast("decimal(20,0)").alias("_low"), F.max(key).cast("decimal(20,0)").alias("_high"))
-    bucket = F.floor((F.col(key).cast("decimal(20,0)") - F.col("_low")) * BUCKETS / (F.col("_high") - F.col("_low") + 1)).cast("int")
-    placed = df.join(F.broadcast(span)).withColumn("_bucket", bucket).drop("_low", "_high")  # one row
+    buckets = 1 << BITS
+    held = write_shared(df, "ordered")
+    shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
+    bounds = held.agg(F.percentile_approx(key, shares, F.lit(5 * buckets)).alias("_bounds"))
+    # The number of bounds that a key exceeds, by bisection; bounds are null where there are no rows.
+    bisected = F.expr(f"aggregate(sequence({BITS - 1}, 0, -1), 0, (a, s) -> if(get(_bounds, a + shiftleft(1, s) - 1) < `{key}`, a + shiftleft(1, s), a))")
+    placed = held.join(F.broadcast(bounds)).withColumn("_bucket", bisected).drop("_bounds")  # one row
     inner = Window.partitionBy(*within, "_bucket").orderBy(key, *(order or []))
     counts = placed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     by = within or [F.lit(0)]

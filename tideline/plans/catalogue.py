@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import indexes, oplog, reads, runs
 from ..operators.ordinals import with_ordinal
-from ..sources import commands, config
+from ..sources import commands, config, driver
 from ..sources.adapters import events_log, ops_events, ops_lineitem, ops_orders, table
 from ..sources.pairs import read_pairs, write_pairs
-from ..sources.shared import shared_dir
+from ..sources.shared import new_path
 from ..streaming.latest import stream_latest
 
 #: Operations per run, level ratio, and page size that suit the test tables.
@@ -42,6 +40,11 @@ def _numbers(spark: SparkSession, n: int, *columns: str) -> DataFrame:
     return spark.range(n).selectExpr("id as ticket", *columns)
 
 
+def _top(ops: DataFrame) -> int:
+    """The last position of a log (one small job)."""
+    return ops.agg(F.max("seq")).first()[0] or 0
+
+
 def kv_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.state(ops_events(spark, sf_dir))
 
@@ -67,8 +70,10 @@ def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_asof_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gets = _numbers(spark, 200, "id * 47 + 25 as seq", "cast(id * 7 % 160 as int) as key")
-    return reads.asof_get(ops_events(spark, sf_dir), gets)
+    """Lookups as of places spread over the whole log."""
+    ops = ops_events(spark, sf_dir)
+    gets = _numbers(spark, 200, f"id * {_top(ops)} div 199 as seq", "cast(id * 7 % 160 as int) as key")
+    return reads.asof_get(ops, gets)
 
 
 def kv_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +85,8 @@ def kv_range_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.range_counts(ops_events(spark, sf_dir), spark.createDataFrame(edges, "ticket long, lo int, hi int"))
 
 
-def _ranges(spark: SparkSession) -> DataFrame:
-    return _numbers(spark, 40, "id * 230 + 100 as seq", "cast(id * 4 - 8 as int) as lo", "cast(id * 4 - 3 + id % 7 * id as int) as hi")
+def _ranges(spark: SparkSession, top: int = 0) -> DataFrame:
+    return _numbers(spark, 40, f"(id + 1) * {top} div 40 as seq", "cast(id * 4 - 8 as int) as lo", "cast(id * 4 - 3 + id % 7 * id as int) as hi")
 
 
 def kv_multi_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,8 @@ def kv_multi_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_asof_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.asof_range(ops_events(spark, sf_dir), _ranges(spark))
+    ops = ops_events(spark, sf_dir)
+    return reads.asof_range(ops, _ranges(spark, _top(ops)))
 
 
 def kv_range_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +194,7 @@ def bloom_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _flushed(spark, sf_dir)
     probes = spark.range(0, 400, 3).selectExpr("cast(id as int) as key")
+    # Pairs without a row are a certain "no".
     maybe = indexes.bloom_probe(indexes.bloom_filter(found, *_bloom(spark)), probes, *_bloom(spark))
     truth = found.select("run_id", "key", F.lit(True).alias("there"))
     return maybe.join(truth, ["run_id", "key"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
@@ -248,7 +255,7 @@ def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The puts of the events log, through pair files: the last pair of a key wins."""
-    path = f"{shared_dir(spark).removeprefix('file://')}/tideline-pairs-{uuid.uuid4().hex}"
+    path = new_path(spark, "pairs")
     write_pairs(ops_events(spark, sf_dir).where("not is_delete"), path)
     return oplog.state(read_pairs(spark, path).withColumn("is_delete", F.lit(False)))
 
@@ -263,17 +270,35 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A command script: puts of the first events, with reads between them."""
-    ops = ops_events(spark, sf_dir).where("seq < 900")
+    """The whole log as a command script, with a read after every tenth event."""
+    ops = ops_events(spark, sf_dir)
     text = F.when(F.col("is_delete"), F.concat(F.lit("d "), "key")).otherwise(F.concat(F.lit("p "), "key", F.lit(" "), F.col("value").cast("string")))
     written = ops.select((F.col("seq") * 2).alias("ord"), text.alias("line"))
-    asked = spark.range(0, 900, 10).select(
+    asked = spark.range(0, _top(ops), 10).select(
         (F.col("id") * 2 + 1).alias("ord"),
         F.when(F.col("id") % 20 == 0, F.concat(F.lit("g "), (F.col("id") % 37).cast("string"))).otherwise(F.concat(F.lit("r "), (F.col("id") % 37).cast("string"), F.lit(" "), (F.col("id") % 37 + 9).cast("string"))).alias("line"),
     )
     return commands.run_script(spark, written.unionByName(asked))
 
 
+#: A script that writes, reads, prints, and ends at a file that is not there.
+FILE_SCRIPT = ["p 1 10", "p 2 20", "", "g 1", "d 2", "r 0 9", "s", "p 3 30", 'l "/no/such/file.bin"', "g 3"]
+
+
+def script_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script and a configuration from files: two operations in, a flush."""
+    root = new_path(spark, "script-file")
+    files = [("script", FILE_SCRIPT), ("config", ["# settings", "lsm.ratio=2", "lsm.c0size=2"])]
+    for name, lines in files:
+        spark.createDataFrame(list(enumerate(lines)), "n int, value string").orderBy("n").coalesce(1).select("value").write.text(f"{root}/{name}")
+    return driver.run_files(spark, f"{root}/script", f"{root}/config")
+
+
+def buffer_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that one half of the buffer holds, by its configured size."""
+    return config.capacities(spark.range(1, 2_000_001, 799).select(F.col("id").alias("c0size")))
+
+
 QUERIES = {
     "kv_latest_state": kv_latest_state,
     "kv_latest_orders": kv_latest_orders,
@@ -308,6 +333,8 @@ QUERIES = {
     "fence_lookup": fence_lookup,
     "point_get_runs": point_get_runs,
     "parse_commands": parse_commands,
+    "script_file": script_file,
+    "buffer_capacity": buffer_capacity,
     "config_parse": config_parse,
     "load_pairs": load_pairs,
     "stream_latest": stream_state,
@@ -319,7 +346,7 @@ def _literal(v) -> str:
 
 
 _ASKED = "asked AS (SELECT range AS ticket, CAST(range * 3 % 400 - 5 AS INTEGER) AS key FROM range(200))"
-_RANGE_SQL = "ranges AS (SELECT range AS ticket, range * 230 + 100 AS seq, CAST(range * 4 - 8 AS INTEGER) AS lo, CAST(range * 4 - 3 + range % 7 * range AS INTEGER) AS hi FROM range(40))"
+_RANGE_SQL = "ranges AS (SELECT range AS ticket, (range + 1) * (SELECT max(seq) FROM ops) // 40 AS seq, CAST(range * 4 - 8 AS INTEGER) AS lo, CAST(range * 4 - 3 + range % 7 * range AS INTEGER) AS hi FROM range(40))"
 _LIVE = f"WITH {_OPS} SELECT key, value FROM newest WHERE NOT is_delete"
 _BITS = f"2 * CAST(ceil(-({BLOOM_ENTRIES} * ln(CAST(CAST({BLOOM_RATE} AS FLOAT) AS DOUBLE))) / pow(ln(2), 2)) AS BIGINT)"
 #: The hash, step by step; multiplications are exact in 128 bits.
@@ -344,7 +371,7 @@ ORACLE_SQL = {
     "kv_tombstones": f"WITH {_OPS} SELECT key FROM newest WHERE is_delete",
     "kv_point_get": f"WITH {_OPS} SELECT 7 AS key, {_STATUS}, {_OUTPUT} FROM (SELECT 1) LEFT JOIN newest ON key = 7",
     "kv_multi_get": f"WITH {_OPS}, {_ASKED} SELECT ticket, key, {_STATUS}, {_OUTPUT} FROM asked LEFT JOIN newest USING (key)",
-    "kv_asof_get": f"""WITH {_OPS}, asked AS (SELECT range AS ticket, range * 47 + 25 AS seq, CAST(range * 7 % 160 AS INTEGER) AS key FROM range(200)),
+    "kv_asof_get": f"""WITH {_OPS}, asked AS (SELECT range AS ticket, range * (SELECT max(seq) FROM ops) // 199 AS seq, CAST(range * 7 % 160 AS INTEGER) AS key FROM range(200)),
         seen AS (SELECT ticket, asked.key, is_delete, value, row_number() OVER (PARTITION BY ticket ORDER BY ops.seq DESC) AS rn FROM asked LEFT JOIN ops ON ops.key = asked.key AND ops.seq <= asked.seq)
         SELECT ticket, key, {_STATUS}, {_OUTPUT} FROM seen WHERE rn = 1""",
     "kv_range": f"WITH {_OPS} SELECT key, value, row_number() OVER (ORDER BY key) - 1 AS ord FROM newest WHERE NOT is_delete AND key >= 5 AND key < 90",
@@ -361,10 +388,9 @@ ORACLE_SQL = {
     "kv_revive": f"""WITH {_OPS} SELECT key, any_value(newest.value) AS value, count(*) FILTER (ops.is_delete) AS n_deletes FROM newest JOIN ops USING (key)
         WHERE NOT newest.is_delete GROUP BY key HAVING count(*) FILTER (ops.is_delete) > 0""",
     "kv_shadow_antijoin": _LIVE,
-    "kv_script": f"""WITH {_OPS}, script AS (SELECT * FROM ops WHERE seq < 900),
-        asked AS (SELECT range AS place, range * 2 + 1 AS ord, CAST(range % 37 AS INTEGER) AS a FROM range(0, 900, 10)),
+    "kv_script": f"""WITH {_OPS}, asked AS (SELECT range AS place, range * 2 + 1 AS ord, CAST(range % 37 AS INTEGER) AS a FROM range(0, (SELECT max(seq) FROM ops), 10)),
         seen AS (SELECT ord, place, key, is_delete, value, a, row_number() OVER (PARTITION BY ord, key ORDER BY seq DESC) AS rn
-            FROM asked LEFT JOIN script ON seq <= place AND CASE WHEN place % 20 = 0 THEN key = a ELSE key >= a AND key < a + 9 END)
+            FROM asked LEFT JOIN ops ON seq <= place AND CASE WHEN place % 20 = 0 THEN key = a ELSE key >= a AND key < a + 9 END)
         SELECT ord, coalesce(string_agg(CASE WHEN place % 20 = 0 THEN CAST(value AS VARCHAR) ELSE key || ':' || value || ' ' END, '' ORDER BY key) FILTER (NOT is_delete), '') AS output
         FROM seen WHERE rn = 1 GROUP BY ord""",
     "run_flush": f"WITH {_RUNS} SELECT run_id, key, is_delete, value FROM runs",
@@ -386,8 +412,9 @@ ORACLE_SQL = {
     "bloom_probe": f"""WITH {_RUNS}, probes AS (SELECT DISTINCT CAST(range AS INTEGER) AS key FROM range(0, 400, 3) UNION SELECT key FROM runs), {_HASH},
         filters AS (SELECT DISTINCT run_id, bit FROM runs JOIN bits USING (key)),
         asked AS (SELECT DISTINCT key, bit FROM bits WHERE key IN (SELECT range FROM range(0, 400, 3))),
-        met AS (SELECT a.key, r.run_id, count(DISTINCT a.bit) = count(f.bit) AS maybe FROM asked a CROSS JOIN (SELECT DISTINCT run_id FROM runs) r LEFT JOIN filters f ON f.run_id = r.run_id AND f.bit = a.bit GROUP BY ALL)
-        SELECT key, met.run_id, maybe, EXISTS (SELECT 1 FROM runs WHERE runs.key = met.key AND runs.run_id = met.run_id) AS there FROM met""",
+        need AS (SELECT key, count(*) AS n FROM asked GROUP BY key),
+        met AS (SELECT key, run_id FROM asked JOIN filters USING (bit) JOIN need USING (key) GROUP BY key, run_id, n HAVING count(*) = n)
+        SELECT key, met.run_id, EXISTS (SELECT 1 FROM runs WHERE runs.key = met.key AND runs.run_id = met.run_id) AS there FROM met""",
     "fence_pages": f"""WITH {_RUNS} SELECT run_id, CAST(place // {PAGE_ROWS} AS INTEGER) AS page, max(key) AS page_max
         FROM (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY key) - 1 AS place FROM runs) GROUP BY ALL""",
     "fence_lookup": f"""WITH {_RUNS}, pages AS (SELECT run_id, CAST(place // {PAGE_ROWS} AS INTEGER) AS page, max(key) AS page_max
@@ -399,6 +426,9 @@ ORACLE_SQL = {
     "parse_commands": "SELECT * FROM (VALUES "
     + ", ".join(f"({k}, {', '.join(map(_literal, c[1:]))})" for k, c in enumerate(COMMAND_CASES))
     + ") AS t(ord, op, a, b, path, message)",
+    "script_file": """SELECT CAST(ord AS BIGINT) AS ord, output FROM (VALUES (3, '10'), (5, '1:10 '), (6, 'Total Pairs: 1' || chr(10) || 'LVL1: 1' || chr(10) || '1:10:L01 '),
+        (8, 'Could not read from file /no/such/file.bin')) AS t(ord, output)""",
+    "buffer_capacity": "SELECT range AS c0size, 400 * ((range // 2 + 1) // 400 + 1) AS entries FROM range(1, 2000001, 799)",
     "config_parse": "SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('lsm.ratio', 5.0), ('lsm.c0size', 1000.0), ('lsm.threadCount', 4.0), ('lsm.bloomFPRate', 0.05)) AS t(name, value)",
     "load_pairs": f"WITH ops AS (SELECT * FROM ({_EVENTS}) WHERE NOT is_delete), newest AS ({_NEWEST}) SELECT key, value FROM newest",
     "stream_latest": _LIVE,

@@ -12,15 +12,16 @@ The first line in error ends the script; what came before stands.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.integers import INT, parse_int
 from ..operators.ordinals import with_ordinal
 from ..operators.reads import asof_get, asof_range, render_ranges
 from ..operators.runs import contents, label, layout, summary_levels
+from .shared import write_shared
 
 _ARGUMENTS = {"p": rf"^p\s*{INT}\s*{INT}", "g": rf"^g\s*{INT}", "d": rf"^d\s*{INT}", "r": rf"^r\s*{INT}\s*{INT}"}
 _FILE = r'^l\s*"\s*([^\s"]*)(\S*)'
@@ -32,6 +33,7 @@ _MESSAGES = {
     "r": "Invalid range command, two arguments are required",
     "l": "Invalid load command, one filename argument in double quotes is required",
 }
+UNREADABLE = "Could not read from file "
 _NAMES = {"p": "put", "g": "get", "d": "delete", "r": "range", "l": "load", "s": "summary"}
 #: Positions that a line's loaded pairs may take.
 _STEP = 1 << 32
@@ -67,28 +69,46 @@ def parse_commands(lines: DataFrame) -> DataFrame:
     )
 
 
+def first_error(parsed: DataFrame) -> int | None:
+    """The place of the first line in error, if any."""
+    return parsed.where("op = 'error'").agg(F.min("ord")).first()[0]
+
+
 def run_script(spark: SparkSession, lines: DataFrame, flush_every: int = 1_000_000, ratio: int = 4, load: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """``ord, output``: what each get, range, summary and the first error print.
 
     The writes are one log and the reads are answered together, each as of its
     line; only loads and summaries, which name files or print everything, are
-    taken one by one. ``load`` gives ``key, value, seq`` of a pair file.
+    taken one by one. ``load`` gives ``key, value, seq`` of a pair file, or raises
+    ``FileNotFoundError``: then the script ends there with a message.
     """
-    parsed = parse_commands(lines)
-    parsed = parsed.withColumn("_failed", F.coalesce(F.max(F.when(F.col("op") == "error", 1)).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    commands = parsed.where("_failed = 0").drop("_failed")  # a script is read in order
+    commands = write_shared(parse_commands(lines), "script")
+    stop = first_error(commands)
+    if stop is not None:
+        commands = commands.where(F.col("ord") <= stop)
     at = (F.col("ord") * _STEP).alias("seq")
-    writes = commands.where("op in ('put', 'delete')").select(at, F.col("a").alias("key"), (F.col("op") == "delete").alias("is_delete"), F.col("b").alias("value"))
     single = commands.where("op in ('load', 'summary')").select("ord", "op", "path").orderBy("ord").collect()
+    loaded, failed = [], None
     for r in single:
         if r["op"] == "load":
-            pairs = load(r["path"]) if load else pairs_of(spark, r["path"])
-            writes = writes.unionByName(pairs.select((F.col("seq") + 1 + r["ord"] * _STEP).alias("seq"), "key", F.lit(False).alias("is_delete"), "value"))
+            try:
+                pairs = (load or partial(pairs_of, spark))(r["path"])
+            except FileNotFoundError:
+                failed = r
+                break
+            loaded.append(pairs.select((F.col("seq") + 1 + r["ord"] * _STEP).alias("seq"), "key", F.lit(False).alias("is_delete"), "value"))
+    if failed is not None:
+        commands = commands.where(F.col("ord") <= failed["ord"])
+        single = [r for r in single if r["ord"] < failed["ord"]]
+    writes = commands.where("op in ('put', 'delete')").select(at, F.col("a").alias("key"), (F.col("op") == "delete").alias("is_delete"), F.col("b").alias("value"))
+    writes = reduce(DataFrame.unionByName, loaded, writes)
     gets = commands.where("op = 'get'").select(F.col("ord").alias("ticket"), at, F.col("a").alias("key"))
     ranges = commands.where("op = 'range'").select(F.col("ord").alias("ticket"), at, F.col("a").alias("lo"), F.col("b").alias("hi"))
     out = asof_get(writes, gets, _STEP << 20).select(F.col("ticket").alias("ord"), "output")
-    out = out.unionByName(render_ranges(asof_range(writes, ranges), ranges).select(F.col("ticket").alias("ord"), F.col("line").alias("output")))
+    out = out.unionByName(render_ranges(asof_range(writes, ranges, _STEP << 20), ranges).select(F.col("ticket").alias("ord"), F.col("line").alias("output")))
     out = out.unionByName(commands.where("op = 'error'").select("ord", F.col("message").alias("output")))
+    if failed is not None:
+        out = out.unionByName(commands.where(F.col("ord") == failed["ord"]).select("ord", F.concat(F.lit(UNREADABLE), "path").alias("output")))
     for r in single:
         if r["op"] == "summary":
             out = out.unionByName(summary(writes.where(F.col("seq") < r["ord"] * _STEP), flush_every, ratio).select(F.lit(r["ord"]).cast(lines.schema["ord"].dataType).alias("ord"), "output"))
@@ -111,6 +131,7 @@ def summary(ops: DataFrame, flush_every: int, ratio: int) -> DataFrame:
 
 
 def pairs_of(spark: SparkSession, path: str) -> DataFrame:
-    from .pairs import read_pairs
+    from .pairs import files_of, read_pairs
 
+    files_of(path)  # raises where there is none
     return read_pairs(spark, path)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # The setting names and their defaults.
 DEFAULTS = {"lsm.ratio": "4", "lsm.c0size": "2000000", "lsm.threadCount": "4", "lsm.bloomFPRate": "0.01"}
 
+#: Entries of a leaf of the buffer.
+LEAF_ROWS = 400
+
 _WHOLE = r"^\s*([+-]?[0-9]+)"
 _REAL = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
@@ -28,8 +31,18 @@ class Config:
 
     @property
     def flush_every(self) -> int:
-        """Operations per run: one of the two halves of the buffer."""
-        return max(1, self.c0size // 2)
+        """Operations per run: what one of the buffer's two halves holds."""
+        return capacity(self.c0size)
+
+
+def capacity(c0size: int) -> int:
+    """Entries of a half of the buffer: whole leaves, one at least."""
+    return LEAF_ROWS * ((c0size // 2 + 1) // LEAF_ROWS + 1)
+
+
+def capacities(sizes: DataFrame) -> DataFrame:
+    """``sizes (c0size)`` with ``entries``, the capacity of each."""
+    return sizes.withColumn("entries", F.expr(f"{LEAF_ROWS} * ((c0size div 2 + 1) div {LEAF_ROWS} + 1)"))
 
 
 def parse_config(text: str) -> Config:

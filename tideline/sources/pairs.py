@@ -24,11 +24,20 @@ SPLIT = 64 << 20
 BATCH = 1 << 20
 
 
-def _files(path: str) -> list[tuple[str, int]]:
+def _at(path: str):
+    """The file system that a path names, by its scheme, and the path within."""
+    import pyarrow.fs as fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+
+
+def files_of(path: str) -> list[tuple[str, int]]:
     """Files under ``path`` and their sizes, in order of their names."""
     import pyarrow.fs as fs
 
-    where, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+    where, inner = _at(path)
     info = where.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"Could not read from file {path}")
@@ -39,9 +48,7 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 
 def _open(path: str):
-    import pyarrow.fs as fs
-
-    where, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+    where, inner = _at(path)
     return where.open_input_file(inner)
 
 
@@ -56,7 +63,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Split]:
         out, seq, each = [], 0, SPLIT // self.width
-        for path, size in _files(self.path):
+        for path, size in files_of(self.path):
             n = size // self.width
             out += [_Split(path, k * self.width, min(each, n - k), seq + k) for k in range(0, n, each)]
             seq += n
@@ -84,34 +91,37 @@ class _Writer(DataSourceArrowWriter):
     sorted table are in its order. Files get their names at the commit."""
 
     def __init__(self, path: str, layout: str) -> None:
-        self.path, self.layout = path.removeprefix("file:"), layout
+        self.path, self.layout = path.rstrip("/"), layout
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Message:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        final = f"{self.path}/part-{context.partitionId():06d}.bin"
-        own = f"{self.path}/_part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        with open(own, "wb") as f:
+        where, inner = _at(self.path)
+        where.create_dir(inner, recursive=True)
+        final = f"part-{context.partitionId():06d}.bin"
+        own = f"_part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        with where.open_output_stream(f"{inner}/{own}") as f:
             for batch in iterator:
                 columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in _FIELDS[self.layout]]
                 f.write(np.stack(columns, 1).astype("<i4").tobytes())
         return _Message(own, final)
 
     def commit(self, messages: list) -> None:
+        where, inner = _at(self.path)
         for m in messages:
-            os.replace(m.path, m.final)
+            where.move(f"{inner}/{m.path}", f"{inner}/{m.final}")
 
     def abort(self, messages: list) -> None:
+        where, inner = _at(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None:
+                where.delete_file(f"{inner}/{m.path}")
 
 
 class RecordFiles(DataSource):
-    """Options: ``path``, and ``layout``: ``pairs`` (default) or ``run``. Writing
-    goes to a folder that driver and executors share."""
+    """Options: ``path``, and ``layout``: ``pairs`` (default) or ``run``. Paths name
+    what driver and executors both reach, on any file system that Arrow knows."""
 
     @classmethod
     def name(cls) -> str:

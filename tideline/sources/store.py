@@ -1,9 +1,12 @@
 """A persisted store: sorted runs as Parquet, and a manifest of those in use.
 
-A write adds one run to level 1 and first merges full levels down. Runs are
-immutable; a manifest version lists the runs in use and takes effect by one
-rename, after its runs are complete and before the old ones are deleted, so a
-reader or a crash at any point finds a whole state. One writer at a time.
+Writes gather in the buffer, which is kept as runs of level 0, so nothing is lost
+with the driver. When it holds ``flush_every`` records it becomes one run of level
+1, after full levels have been merged down. Runs are immutable; a manifest version
+lists the runs in use and is a file that no one may overwrite. What a version
+retires stays for ``KEEP`` more versions, so a reader that has opened an older
+one, or a crash at any point, finds a whole state. One writer at a time; another
+one that publishes the same version is refused.
 
 Runs are sorted by key within files of disjoint key ranges and carry Bloom
 filters, so Parquet's statistics prune range reads and its filters point reads.
@@ -13,8 +16,9 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from ..operators.oplog import latest, live
 from .config import Config
 
 _SCHEMA = "key int, is_delete boolean, value int"
+#: Versions for which retired runs and old manifests stay.
+KEEP = 3
 
 
 @dataclass(frozen=True)
@@ -41,6 +47,8 @@ class Manifest:
     #: Levels that exist, also empty ones.
     depth: int = 0
     runs: list[Run] = field(default_factory=list)
+    #: Runs no longer in use: number, and the version that retired it.
+    retired: list[tuple[int, int]] = field(default_factory=list)
 
 
 class Files:
@@ -64,42 +72,60 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        stream = self.fs.create(self._path(path), True)
+    def write_new(self, path: str, text: str) -> bool:
+        """Write a file, unless there is one of its name."""
+        try:
+            stream = self.fs.create(self._path(path), False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+                return False
+            raise
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-
-    def rename(self, a: str, b: str) -> bool:
-        return self.fs.rename(self._path(a), self._path(b))
+        return True
 
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
 
 class Store:
-    """``Store(spark, root)`` opens or starts the store in a folder."""
+    """``Store(spark, root)`` opens or starts the store in a folder. ``flush_every``
+    (records of the buffer) comes from the configuration unless given."""
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, files_per_run: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, files_per_run: int | None = None, flush_every: int | None = None) -> None:
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.files_per_run = files_per_run
+        self.flush_every = flush_every or self.config.flush_every
         self.files = Files(spark, self.root)
 
+    def _versions(self) -> list[int]:
+        return sorted(int(m[1]) for x in self.files.names(f"{self.root}/manifest") if (m := re.fullmatch(r"v(\d+)\.json", x)))
+
     def manifest(self) -> Manifest:
-        versions = [int(m[1]) for x in self.files.names(f"{self.root}/manifest") if (m := re.fullmatch(r"v(\d+)\.json", x))]
-        if not versions:
-            return Manifest()
-        raw = json.loads(self.files.read(f"{self.root}/manifest/v{max(versions)}.json"))
-        return Manifest(raw["version"], raw["next_run"], raw["depth"], [Run(**r) for r in raw["runs"]])
+        """The newest version that is whole."""
+        for v in reversed(self._versions()):
+            try:
+                raw = json.loads(self.files.read(f"{self.root}/manifest/v{v}.json"))
+            except ValueError:
+                continue  # its writer died over it
+            return Manifest(raw["version"], raw["next_run"], raw["depth"], [Run(**r) for r in raw["runs"]], [tuple(r) for r in raw["retired"]])
+        return Manifest()
 
     def _publish(self, m: Manifest) -> None:
-        """The next version; nobody sees it before it is whole."""
-        m.version += 1
-        draft, final = f"{self.root}/manifest/.v{m.version}.json", f"{self.root}/manifest/v{m.version}.json"
-        self.files.write(draft, json.dumps({"version": m.version, "next_run": m.next_run, "depth": m.depth, "runs": [asdict(r) for r in m.runs]}))
-        if not self.files.rename(draft, final):
+        """The next version; then what was retired long ago is deleted."""
+        m.version = 1 + max([m.version, *self._versions()])
+        gone = [r for r, version in m.retired if version and version + KEEP < m.version]
+        m.retired = [(r, version or m.version) for r, version in m.retired if r not in gone]
+        text = json.dumps({"version": m.version, "next_run": m.next_run, "depth": m.depth, "runs": [asdict(r) for r in m.runs], "retired": m.retired})
+        if not self.files.write_new(f"{self.root}/manifest/v{m.version}.json", text):
             raise RuntimeError(f"another writer has published version {m.version}")
+        for run_id in gone:
+            self.files.delete(f"{self.root}/runs/run={run_id}")
+        for v in self._versions():
+            if v + KEEP < m.version:
+                self.files.delete(f"{self.root}/manifest/v{v}.json")
 
     def _path(self, run: Run) -> str:
         return f"{self.root}/runs/run={run.run_id}"
@@ -129,28 +155,40 @@ class Store:
         found = found.withColumnRenamed("run", "run_id").join(F.broadcast(known), "run_id")  # a row per run
         return found.withColumn("recency", F.col("run_id") - F.col("level").cast("long") * (1 << 40))
 
-    def write(self, ops: DataFrame) -> Run:
-        """Take in a batch of operations (``seq, key, is_delete, value``)."""
-        m = self.manifest()
-        full = 0
-        while (cap := self.config.ratio * (2 if full == 0 else 1)) and sum(r.level == full + 1 for r in m.runs) >= cap:
-            full += 1
-        retired: list[Run] = []
-        for level in range(full, 0, -1):
-            inputs = [r for r in m.runs if r.level == level]
+    def _merge(self, m: Manifest, level: int) -> None:
+        """The runs of a level as one run of the next."""
+        inputs = [r for r in m.runs if r.level == level]
+        if len(inputs) == 1 and level == 0:
+            merged = replace(inputs[0], level=1)
+        else:
             merged = self._write_run(latest(self._read(inputs), "recency"), level + 1, m.next_run)
             m.next_run += 1
-            m.depth = max(m.depth, level + 1)
-            m.runs = [r for r in m.runs if r.level != level] + [merged]
-            retired += inputs
-        run = self._write_run(latest(ops), 1, m.next_run)
+            m.retired += [(r.run_id, 0) for r in inputs]
+        m.depth = max(m.depth, level + 1)
+        m.runs = [r for r in m.runs if r.level != level] + [merged]
+
+    def flush(self, m: Manifest | None = None) -> None:
+        """Make the buffer a run of level 1, whatever it holds."""
+        own = m or self.manifest()
+        if any(r.level == 0 for r in own.runs):
+            full = 0
+            while sum(r.level == full + 1 for r in own.runs) >= self.config.ratio * (2 if full == 0 else 1):
+                full += 1
+            for level in range(full, -1, -1):
+                self._merge(own, level)
+            if m is None:
+                self._publish(own)
+
+    def write(self, ops: DataFrame) -> None:
+        """Take in a batch of operations (``seq, key, is_delete, value``), newer
+        than all before. The buffer is flushed when it is full; a batch that is
+        larger than the buffer is one run all the same."""
+        m = self.manifest()
+        m.runs.append(self._write_run(latest(ops), 0, m.next_run))
         m.next_run += 1
-        m.depth = max(m.depth, 1)
-        m.runs.append(run)
+        if sum(r.size for r in m.runs if r.level == 0) >= self.flush_every:
+            self.flush(m)
         self._publish(m)
-        for r in retired:
-            self.files.delete(self._path(r))
-        return run
 
     def held(self) -> DataFrame:
         """All records of all runs."""
@@ -172,9 +210,11 @@ class Store:
         return live(latest(found, "recency")).orderBy("key")
 
     def level_pairs(self) -> dict[int, int]:
-        """Live records per level, from the manifest alone; empty levels too."""
+        """Live records per level, from the manifest alone; empty levels too, and
+        the buffer (level 0) where it has any."""
         m = self.manifest()
-        return {k: sum(r.size - r.delete_count for r in m.runs if r.level == k) for k in range(1, m.depth + 1)}
+        found = {k: sum(r.size - r.delete_count for r in m.runs if r.level == k) for k in range(m.depth + 1)}
+        return {k: n for k, n in found.items() if k or n}
 
     def clear(self) -> None:
         self.files.delete(self.root)
