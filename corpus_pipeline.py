@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm.common import write_shared
+from tideline.llm.common import new_path, scratch
 from tideline.llm.decontam import drop_contaminated
 from tideline.llm.exact_dedup import exact_dedup
 from tideline.llm.packing import pack_documents
@@ -56,8 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again. A
+    stage's intermediate tables go when its output is written; the outputs
+    themselves, which the result needs, when the driver ends or ``scratch`` does."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark, name):
+            found = stage(spark, docs, sf_dir)
+            found.write.mode("append").parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+    return docs
