@@ -1,10 +1,12 @@
 """The stages on a small table, each against what it must do with its own input."""
 
+import os
 import re
 
 import corpus_pipeline
 from conftest import SMALL
-from tideline.llm.common import KeyFilter, without_keys, write_shared
+from tideline.llm.common import KeyFilter, scratch, without_keys, write_shared
+from tideline.sources.shared import shared_dir
 from tideline.llm.queries import op6_toxicity, table
 from test_decontam import brute as leaks
 from test_simhash import brute as near
@@ -36,6 +38,17 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).count() == at["packing"].count()
 
 
+def test_nothing_is_left_behind(spark, tmp_path):
+    """With the output written, the shared folder has no intermediate tables, and
+    the session its settings."""
+    root, name = shared_dir(spark).removeprefix("file://") + "/tideline", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, setting = set(os.listdir(root)) if os.path.exists(root) else set(), spark.conf.get(name)
+    with scratch(spark):
+        corpus_pipeline.run(spark, SMALL).write.parquet(str(tmp_path / "out"))
+    assert set(os.listdir(root)) == before and spark.conf.get(name) == setting
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
 def test_key_filter_never_misses(spark):
     df = spark.range(2000).withColumnRenamed("id", "doc_id")
     gone = df.where("doc_id % 7 = 0")
