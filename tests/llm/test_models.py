@@ -121,6 +121,40 @@ def test_text_scores_count_exactly(spark, common):
         assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
+def test_held_out_texts_score_above_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = lm_scoring.score_texts(docs, id_crc32() % 10 != 0).where("not learnt").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (found[0] - found[1]) / found[2] > 0.02  # log10 of a token
+
+
+@pytest.mark.parametrize("shortlist", [4, 1000])
+def test_words_sum_to_one(spark, monkeypatch, shortlist):
+    """All known words, the end, and one unknown word of each class, after the start of a text."""
+    held = []
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.5, 30) % 50) for _ in range(200)]
+    known = sorted({w for t in texts for w in t.split()})
+    unknown = {}
+    for k in range(10_000):
+        unknown.setdefault(lm_scoring.ending_class(b"new%d" % k, 8), f"new{k}")
+    assert len(unknown) == 8
+    single = [*known, *unknown.values()]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1 - k, w) for k, w in enumerate(single)] + [(-1000, "")], "doc_id long, text string")
+    once = lm_scoring.TextModel.__post_init__
+    monkeypatch.setattr(lm_scoring.TextModel, "__post_init__", lambda self: (once(self), held.append(self))[0])
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(df, F.col("doc_id") >= 0, shortlist=shortlist, classes=8).collect()}
+    model = held[0]
+    start = len(model.network.context) - 1
+    total = 10 ** found[-1000]  # the end
+    for k, w in enumerate(single):
+        n = model.number.get(w.encode())
+        o = model.output[n] if n else model.shortlist + 1 + lm_scoring.ending_class(w.encode(), 8)
+        z = (model._far[start] + model._near[o]) @ model.network.out[0] + model.network.bias[0] - model.log_z[start, o]
+        total += 10 ** (found[-1 - k] - z / np.log(10))
+    assert total == pytest.approx(1, abs=1e-4)
+
+
 def test_outputs_sum_to_one():
     rng = np.random.default_rng(0)
     unigram = np.full(20, 0.05)

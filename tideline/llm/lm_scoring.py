@@ -8,14 +8,15 @@ by batched matrix products over all outputs.
 
 It learns from all training tokens. They are dealt into shards of about equal
 size; in each pass every shard is learnt from on the executors, starting from the
-same parameters, and the results are averaged there by tokens. What reaches the
-driver is the square root of the shards, in averages of fixed size.
+same parameters, and the results are averaged there by tokens, first within a task. What
+reaches the driver is the square root of the tasks, in averages of fixed size.
 
 Outputs are the end of a text, the most frequent words, and classes (by their
 last letters) of all other words. A word of a class gets the class's probability
-times its share of the class's training tokens; words never seen share the mass
-that the class's words seen once suggest (Good-Turing). So the probabilities of
-all known words, the end, and one unknown word per class sum to 1.
+times its share of the class's training tokens, from which ``DISCOUNT`` of an
+occurrence is taken; words never seen share what is taken from the class's words.
+So the probabilities of all known words, the end, and one unknown word per class
+sum to 1.
 
 Corpus counts cover all training texts and never leave the executors whole: the
 words above a count, at most ``COMMON``, go to every worker, and the occurrences
@@ -29,25 +30,31 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, text_or_empty, write_shared
 
 #: Words with an output of their own, and classes of the others.
-SHORTLIST = 511
+SHORTLIST = 1_791
 CLASSES = 256
 #: Words whose counts every worker holds at most; the others are joined.
 COMMON = 300_000
 #: Training tokens of a shard, about, and the tokens that a row of one holds at most.
 SHARD_TOKENS = 500_000
 PART = 65_536
+#: Occurrences taken from each known word of a class for its unknown ones.
+DISCOUNT = 0.5
 #: Passes over all training tokens.
-EPOCHS = 4
+EPOCHS = 2
 DIM = 24
+#: Words whose outputs a worker that codes texts remembers.
+CODED = 500_000
 _FLUSH = 300_000
 
 
@@ -79,10 +86,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class Coder(dict):
+    """Outputs of words by ``output``; remembers those of many words."""
+
+    def __init__(self, output: Callable[[bytes], int]) -> None:
+        self.output = output
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CODED:
+            self.clear()
+        found = self[word] = self.output(word)
+        return found
+
+
 def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Rows of ``values`` summed by ``index``."""
-    width = values.shape[1]
-    return np.bincount((index[:, None] * width + np.arange(width)).ravel(), values.ravel(), size * width).reshape(size, width)
+    """Rows of ``values`` summed by ``index`` (16 bits, which sort fastest)."""
+    order = np.argsort(index, kind="stable")
+    own = index.take(order)
+    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[own[cuts]] = np.add.reduceat(values.take(order, 0), cuts, axis=0)
+    return out
 
 
 @dataclass
@@ -102,7 +126,8 @@ class LogBilinear:
         rng = np.random.default_rng(seed)
         size = len(unigram)
         init = lambda *s: rng.standard_normal(s) * 0.1
-        model = LogBilinear(init(size + 1, dim), np.eye(dim), np.eye(dim) * 0.5, init(size, dim), np.log(unigram))
+        parts = init(size + 1, dim), np.eye(dim), np.eye(dim) * 0.5, init(size, dim), np.log(unigram)
+        model = LogBilinear(*(x.astype(np.float32) for x in parts))
         return model, LogBilinear(*(np.full_like(x, 1e-6) for x in model.arrays()))
 
     @staticmethod
@@ -129,47 +154,48 @@ class LogBilinear:
         whole batch, so that scores are matrix products), with AdaGrad steps over
         ``seen``. ``history``: (n, 2) far and near."""
         rng = np.random.default_rng(seed)
-        size, kind = len(unigram), np.float32
-        log_noise = np.log(noise * unigram)
+        size = len(unigram)
+        log_noise = np.log(noise * unigram).astype(np.float32)
         cumulated = np.cumsum(unigram)
         order = rng.permutation(len(target))
-        history, target = history[order], target[order]
+        far_of, near_of, said = (x.astype(np.int16).take(order) for x in (history[:, 0], history[:, 1], target))
         for k in range(0, len(order), batch):
-            f, h, w = (x.astype(np.int64) for x in (history[k : k + batch, 0], history[k : k + batch, 1], target[k : k + batch]))
+            f, h, w = far_of[k : k + batch], near_of[k : k + batch], said[k : k + batch]
             n = len(w)
-            drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise) * cumulated[-1]), size - 1)
-            context, out, near, far = (x.astype(kind) for x in (self.context, self.out, self.near, self.far))
-            bias = (self.bias - log_noise).astype(kind)
-            ef, eh = context[f], context[h]
-            q = ef @ far + eh @ near
-            ow, od = out[w], out[drawn]
-            right = (q * ow).sum(1) + bias[w]
-            gw = q @ od.T
-            gw += bias[drawn]
-            np.exp(np.negative(np.clip(gw, -30, 30, out=gw), out=gw), out=gw)  # in place: the largest array of the pass
-            gw += 1
-            np.divide(kind(1 / n), gw, out=gw)
-            gr = (1 / (1 + np.exp(-np.clip(right, -30, 30))) - 1) / n
-            gq = gr[:, None] * ow + gw @ od
-            g_out = _sums(np.r_[w, drawn], np.r_[gr[:, None] * q, gw.T @ q], size)
-            g_bias = np.bincount(np.r_[w, drawn], np.r_[gr, gw.sum(0)], size)
-            g_context = _sums(np.r_[f, h], np.r_[gq @ far.T, gq @ near.T], size + 1)
+            drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise) * cumulated[-1]), size - 1).astype(np.int16)
+            bias = self.bias - log_noise
+            ef, eh = self.context.take(f, 0), self.context.take(h, 0)
+            q = ef @ self.far + eh @ self.near
+            ow, od = self.out.take(w, 0), self.out.take(drawn, 0)
+            # The probability that a draw is a target, in place: the largest array of the pass.
+            g = q @ -od.T
+            g -= bias[drawn]
+            np.exp(np.minimum(g, 80, out=g), out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            gr = -1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", q, ow) + bias[w], 80)))
+            gq = g @ od
+            gq += gr[:, None] * ow
+            g_out = _sums(np.r_[w, drawn], np.r_[gr[:, None] * q, g.T @ q], size)
+            g_bias = np.bincount(np.r_[w, drawn], np.r_[gr, g.sum(0)], size).astype(np.float32)
+            g_context = _sums(np.r_[f, h], np.r_[gq @ self.far.T, gq @ self.near.T], size + 1)
             for value, squares, grad in zip(self.arrays(), seen.arrays(), (g_context, eh.T @ gq, ef.T @ gq, g_out, g_bias), strict=True):
+                grad *= np.float32(1 / n)
                 squares += grad * grad
-                value -= rate * grad / np.sqrt(squares)
-
-    def normaliser(self, step: int = 4096) -> np.ndarray:
-        """log of the sum over outputs for every context (far, near), by batched
-        matrix products."""
-        far, near = self.context @ self.far, self.context @ self.near
-        n = len(far)
-        out = np.empty(n * n)
-        for at in range(0, n * n, step):
-            codes = np.arange(at, min(at + step, n * n))
-            z = (far[codes // n] + near[codes % n]) @ self.out.T + self.bias
-            top = z.max(1)
-            out[codes] = top + np.log(np.exp(z - top[:, None]).sum(1))
-        return out.reshape(n, n)
+                grad /= np.sqrt(squares)
+                grad *= np.float32(rate)
+                value -= grad
+
+    def normaliser(self, step: int = 256) -> np.ndarray:
+        """log of the sum over outputs for every context (far, near). The scores
+        are sums of the two places' parts, so the sums of their exponentials are
+        products of two matrices, a batch of rows at a time."""
+        out = self.out.astype(float)
+        far, near = (self.context @ self.far) @ out.T, (self.context @ self.near) @ out.T + self.bias
+        far_top, near_top = far.max(1), near.max(1)
+        a, b = np.exp(far - far_top[:, None]), np.exp(near - near_top[:, None]).T
+        logs = [np.log(a[at : at + step] @ b) + near_top + far_top[at : at + step, None] for at in range(0, len(a), step)]
+        return np.concatenate(logs).astype(np.float32)
 
 
 @dataclass
@@ -218,7 +244,7 @@ class TextModel:
         step = 1 << 16
         for at in range(0, len(found) + 1, step):
             part = found[at : at + step]
-            n = np.fromiter((number.get(w, -1) for w in part), np.int64, len(part))
+            n = np.fromiter(map(number.get, part, repeat(-1)), np.int64, len(part))
             missing = np.flatnonzero(n < 0)
             o = self.output[n]
             if len(missing):
@@ -235,8 +261,8 @@ class TextModel:
             base += float(self.base(self.count[held]).sum())
             h = np.r_[near, o[:-1]]
             f = np.r_[far, near, o[:-2]] if len(o) > 1 else np.r_[far]
-            z = ((self._far[f] + self._near[h]) * self.network.out[o]).sum(1) + self.network.bias[o] - self.log_z[f, h]
-            score += float(z.sum()) / np.log(10) + float(self.inside[held].sum())
+            z = np.einsum("ij,ij->i", self._far[f] + self._near[h], self.network.out[o]) + self.network.bias[o] - self.log_z[f, h]
+            score += float(z.sum(dtype=np.float64)) / np.log(10) + float(self.inside[held].sum())
             far, near = (int(o[-2]) if len(o) > 1 else near), int(o[-1])
         return known, base, score, rare
 
@@ -248,10 +274,11 @@ def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, s
     shard has them in order, so neither depends on how the table is stored."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Coder(output).__getitem__
         for batch in batches:
             of, part, codes = [], [], []
             for k, text in enumerate(batch.column(1)):
-                t = np.array([start, start, *map(output, tokens(text.as_py())), 0], np.int16)
+                t = np.array([start, start, *map(code, tokens(text.as_py())), 0], np.int16)
                 for number, at in enumerate(range(0, len(t) - 2, PART)):
                     of.append(k)
                     part.append(number)
@@ -282,29 +309,34 @@ def learn_network(training: DataFrame, output: Callable[[bytes], int], unigram:
         return model
     spark = training.sparkSession
     held = write_shared(shards_of(training, output, len(unigram), shards), "lm-shards")
-    groups = math.isqrt(shards - 1) + 1
 
     def mean(table: pa.Table) -> pa.Table:
-        table = table.sort_by("shard")
+        table = table.sort_by("task")
         n = table.column("n").to_numpy()
         state = sum(np.frombuffer(x.as_py(), np.float32).astype(float) * k for x, k in zip(table.column("state"), n, strict=True)) / n.sum()
-        return pa.table({"shard": table.column("shard").slice(0, 1), "n": pa.array([n.sum()], pa.int64()), "state": pa.array([state.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"task": table.column("task").slice(0, 1), "n": pa.array([n.sum()], pa.int64()), "state": pa.array([state.astype(np.float32).tobytes()], pa.binary())})
 
     for epoch in range(epochs):
         now = spark.sparkContext.broadcast((model, seen))
 
         def learn(batches: Iterator[pa.RecordBatch], epoch: int = epoch, now=now) -> Iterator[pa.RecordBatch]:
+            """The average over a task's shards, each learnt from apart."""
+            n, state = 0, 0.0
             for batch in batches:
                 for shard, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     own, squares = (x.filled(x.flat()) for x in now.value)
                     history, target = examples_of(parts.as_py())
                     own.learn(squares, history, target, unigram, seed=(epoch, shard))
-                    state = np.r_[own.flat(), squares.flat()].astype(np.float32).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(target)], pa.int64()), pa.array([state], pa.binary())], names=["shard", "n", "state"])
-
-        schema = "shard long, n long, state binary"
-        means = held.mapInArrow(learn, schema).groupBy(F.col("shard") % groups).applyInArrow(mean, schema).toArrow()
-        flat = np.frombuffer(mean(means).column("state")[0].as_py(), np.float32).astype(float)
+                    n, state = n + len(target), state + np.r_[own.flat(), squares.flat()].astype(float) * len(target)
+            if n:
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([(state / n).astype(np.float32).tobytes()], pa.binary())], names=["task", "n", "state"])
+
+        schema = "task long, n long, state binary"
+        learnt = write_shared(held.mapInArrow(learn, schema), "lm-states")
+        groups = math.isqrt(max(learnt.count() - 1, 0)) + 1
+        means = learnt.groupBy(F.col("task") % groups).applyInArrow(mean, schema).toArrow()
+        flat = np.frombuffer(mean(means).column("state")[0].as_py(), np.float32)
         half = len(flat) // 2
         model, seen = model.filled(flat[:half]), seen.filled(flat[half:])
     return model
@@ -341,23 +373,22 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
     c = top.column("c").to_numpy().astype(np.int64) if top is not None else np.zeros(0, np.int64)
     order = sorted(range(len(words)), key=lambda k: (-c[k], words[k]))
     words, c = [words[k] for k in order], c[order]
-    short = min(shortlist, len(words))
+    shortlist = short = min(shortlist, len(words))
 
     # Class totals over all words that are not in the shortlist.
     ending = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(classes)).cast("int")
-    by_class = counts.groupBy(ending.alias("class")).agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).collect()
-    size, once = np.zeros(classes), np.zeros(classes)
+    by_class = counts.groupBy(ending.alias("class")).agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("words")).collect()
+    size, kinds_of = np.zeros(classes), np.zeros(classes)
     for r in by_class:
-        size[r["class"]], once[r["class"]] = r["tokens"], r["once"]
+        size[r["class"]], kinds_of[r["class"]] = r["tokens"], r["words"]
     own = np.array([ending_class(w, classes) for w in words], np.int64)
     np.subtract.at(size, own[:short], c[:short])
-    np.subtract.at(once, own[:short], c[:short] == 1)
-    unseen = np.where(size > 0, (once + 0.5) / (size + 1), 1.0)
+    np.subtract.at(kinds_of, own[:short], 1)
+    unseen = np.where(size > 0, DISCOUNT * kinds_of / np.maximum(size, 1), 1.0)
     outputs = 1 + shortlist + classes
     output = np.r_[0, 1 + np.arange(short), shortlist + 1 + own[short:]].astype(np.int64)
-    with np.errstate(divide="ignore"):
-        share = np.log10((1 - unseen) / np.maximum(size, 1))
-    inside = np.r_[0.0, np.zeros(short), share[own[short:]] + np.log10(np.maximum(c[short:], 1))]
+    share = -np.log10(np.maximum(size, 1))
+    inside = np.r_[0.0, np.zeros(short), share[own[short:]] + np.log10(c[short:] - DISCOUNT)]
     unigram = np.full(outputs, 0.1)
     unigram[0] += ends
     unigram[1 : short + 1] += c[:short]
@@ -373,15 +404,20 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
+            words, n, ends = [], [], [0]
             for text in batch.column(3):
                 found = tokens(text.as_py())
                 known, base, score, rare = fitted.score(found)
-                for column, value in zip(out, (len(found) + 1, known, base, score, [{"word": w, "n": n, "class": ending_class(w, classes)} for w, n in rare.items()]), strict=True):
+                for column, value in zip(out, (len(found) + 1, known, base, score), strict=True):
                     column.append(value)
-            tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32())]))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["rid", "doc_id", "learnt", "n_tokens", "n_known", "base", "score", "rare"])
+                words += rare
+                n += rare.values()
+                ends.append(len(words))
+            of = pa.array([ending_class(w, classes) for w in words], pa.int32())
+            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), of], names=["word", "n", "class"])
+            values = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], names=["rid", "doc_id", "learnt", "n_tokens", "n_known", "base", "score", "rare"])
 
     placed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "learnt", "text")
     schema = f"rid long, doc_id {kind}, learnt boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: bigint, class: int>>"
@@ -389,13 +425,13 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
 
     # Rare words' counts: an equi-join on the word; a hot unknown word is split by adaptive execution.
     others = counts.where(F.col("c") < least) if least is not None else counts
-    known_share = F.array(*(F.lit(float(x) if np.isfinite(x) else -400.0) for x in share))
+    known_share = F.array(*(F.lit(float(x)) for x in share))
     new_share = F.array(*(F.lit(float(x)) for x in np.log10(unseen)))
     met = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.*").join(others, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = met.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_rare"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))).alias("base_rare"),
-        F.sum(F.col("n") * F.when(F.col("c") > 0, F.get(known_share, "class") + F.log10(F.greatest("c", F.lit(1)))).otherwise(F.get(new_share, "class"))).alias("score_rare"),
+        F.sum(F.col("n") * F.when(F.col("c") > 0, F.get(known_share, "class") + F.log10(F.greatest("c", F.lit(1)) - DISCOUNT)).otherwise(F.get(new_share, "class"))).alias("score_rare"),
     )
     zero = lambda name: F.coalesce(name, F.lit(0))
     return scored.join(rest, "rid", "left").select(
