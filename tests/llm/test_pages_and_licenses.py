@@ -45,7 +45,21 @@ def test_whole_table(spark):
         assert r["text"] == article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("container", ["<div>", '<div class="post">', "<section>", "<main>", ""])
+def test_whole_table_without_articles(container):
+    """The pages of the table with another element, or none, in place of the
+    article: the scan finds the region by itself."""
+    close = f"</{container[1:].split()[0].rstrip('>')}>" if container else ""
+    for source in duckdb.execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        other = source[0].replace("<article>", container).replace("</article>", close)
+        assert main_text(other) == article(source[0])
+
+
 CASES = {
+    "inlined image": ('<nav>Up</nav><div><p>Before</p><img src="data:image/png;base64,' + "A>" * 100_000 + '" class="ad"><p>After it</p></div>', "Before\n\nAfter it"),
+    "quote that never closes": ('<p>One is here</p><a title="x>two and three</a><p>four and five</p>', "One is here\n\ntwo and three\n\nfour and five"),
+    "short ends": ("<div><nav>Home page of the paper</nav><h1>Go</h1><p>One two three four five.</p><p>End</p></div><footer>Words at the foot</footer>", "Go\n\nOne two three four five.\n\nEnd"),
+    "words of a far menu": ("<div><div>" + "".join(f"<a href=/{k}>Link</a> " for k in range(40)) + "</div><div><p>A story is told here, and it goes on for a while.</p><p>It ends.</p></div></div>", "A story is told here, and it goes on for a while.\n\nIt ends."),
     "surroundings": (
         """<html><head><title>x</title></head><body><header class="top"><h1>Site</h1><nav><a href=/>Home</a></nav></header><div class="layout has-sidebar"><div class="cookie-notice">We use cookies. OK?</div>
         <div class="story-text"><h2>Title one</h2><p>First paragraph here with words.</p><div class="advert">Buy now</div><script>x<y</script><p>Second&nbsp;paragraph &amp; more <a href="x>y">link</a>.</p></div>
@@ -73,7 +87,7 @@ def test_page(name):
 
 
 def test_broken_markup_is_linear_and_whole():
-    for piece in ("<a '", "<!--", "<script>", "<div class=ad>", '<p title="', "</p>", "<", "&"):
+    for piece in ("<a '", "<a ", """<a "<b '<c """, '<a "<b "', "<a <b '\"", "<!--", "<script>", "<div class=ad>", '<p title="', "</p>", "<", "&"):
         main_text("<p>x</p>" + piece * 20_000)
     rng = random.Random(1)
     for _ in range(200):

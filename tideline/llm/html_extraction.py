@@ -4,9 +4,8 @@ A page is a sequence of words and tags. Words score positive and tags negative,
 and one linear scan finds the contiguous run with the largest sum: the content
 region. What tags cost is learned from labelled pages (``html_labelled``), as is
 which elements are boilerplate (by tag, role, class and id); words inside such
-elements score nothing and never reach the text. Where the region lies in an
-``article`` or ``main`` element, it is widened to that element, so short first
-and last paragraphs stay.
+elements score nothing and never reach the text. The tags of content cost little,
+so short first and last paragraphs pay for their tags.
 
 Pages are independent of each other: one pass in Python workers, no shuffle.
 """
@@ -41,11 +40,11 @@ _BLOCK = frozenset(
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
+_NAME = re.compile("</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _OF_OTHERS = frozenset(("has", "with", "no", "without"))
-#: Characters that a tag's quotes may span; beyond that a tag ends at its first ``>``.
-_TAG_REACH = 1 << 16
+_UNQUOTED = re.compile(r"""([^"'>]++)|"[^"]*+"|'[^']*+'""")
 
 
 @dataclass(slots=True)
@@ -73,12 +72,16 @@ def parse(source: str) -> Page:
     """Tokens and elements of whole markup in one pass; broken markup never fails.
 
     Comments, doctypes and the content of scripts and the like are left out. A
-    ``<`` that starts no tag is text."""
+    ``<`` that starts no tag is text. A tag may be of any length; one whose quotes
+    never close, or that has no end outside quotes, ends at its first ``>``."""
     page = Page()
     stack: list[int] = []
     open_names: Counter = Counter()
     at, text_from, n, place = 0, 0, len(source), 0
     raw_ends: dict[str, bool] = {}
+    # Places from which a tag has no end. A reader that fails passes them all unquoted, and one that starts at any of
+    # them fails as it did. Two that start elsewhere differ in their quotes all along, so three at most fail anew.
+    endless: bytearray | None = None
 
     def text(until: int) -> None:
         nonlocal place
@@ -108,7 +111,14 @@ def parse(source: str) -> Page:
                 end = n if end < 0 else end + 1
             at = text_from = end
             continue
-        m = _TAG.match(source, at, at + _TAG_REACH)
+        m = None if endless and endless[at] else _TAG.match(source, at)
+        if not m and not (endless and endless[at]) and _NAME.match(source, at):
+            endless = endless or bytearray(n)
+            step = at
+            while part := _UNQUOTED.match(source, step):
+                if part[1]:
+                    endless[step : part.end()] = b"\1" * (part.end() - step)
+                step = part.end()
         if m:
             end, slash, name, attributes = m.end(), m[1], m[2].lower(), m[3]
         elif c.isascii() and (c.isalpha() or c == "/" and source[at + 2 : at + 3].isalpha()):
@@ -196,9 +206,11 @@ class Weights:
         return self.bias + sum(self.elements.get(f, 0.0) for f in features(name, attributes))
 
 
-def learn(pages: list[str], mark: str = BOILERPLATE_MARK, rounds: int = 3000, rate: float = 0.5, l2: float = 0.002) -> Weights:
+def learn(pages: list[str], mark: str = BOILERPLATE_MARK, rounds: int = 3000, rate: float = 0.5, l2: float = 0.0005, bias: float = 1.0) -> Weights:
     """Weights from labelled pages, whose boilerplate elements bear the attribute
-    ``mark``. Everything within these is boilerplate, and all else content."""
+    ``mark``. Everything within these is boilerplate, and all else content.
+    ``bias`` is fixed: an element of which nothing is known is content, and one
+    page that shows a name in use is enough to learn it."""
     rows, labels = [], []
     plain = set()
     inside, outside = Counter(), Counter()
@@ -227,16 +239,15 @@ def learn(pages: list[str], mark: str = BOILERPLATE_MARK, rounds: int = 3000, ra
     for k, r in enumerate(rows):
         x[k, [number[f] for f in r]] = 1
     y = np.array(labels, float)
-    w, bias = np.zeros(len(names)), 0.0
+    w = np.zeros(len(names))
     for _ in range(rounds):  # logistic regression; a kind is as heavy as the other
         p = 1 / (1 + np.exp(-(x @ w + bias)))
         g = (p - y) * np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         w -= rate * (x.T @ g / np.sqrt(np.maximum(x.sum(0), 1)) / 4 + l2 * w)
-        bias -= rate * g.mean()
     n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     odds = {t: np.log(((outside[t] + 1) / n_out) / ((inside[t] + 1) / n_in)) for t in {*inside, *outside}}
-    tags = {t: -float(0.2 + max(0.0, v)) for t, v in odds.items()}
-    return Weights(tags, -1.0, dict(zip(names, w.tolist(), strict=True)), float(bias))
+    tags = {t: -float(0.2 + max(0.0, v) / 2) for t, v in odds.items()}  # half of the odds for the tag that opens, half for the one that closes
+    return Weights(tags, -1.0, dict(zip(names, w.tolist(), strict=True)), bias)
 
 
 @cache
@@ -256,7 +267,6 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
-_CONTAINERS = frozenset(("article", "main"))
 _NEVER_MAIN = frozenset(("aside", "nav", "footer", "head"))
 _REPLIES = re.compile("comment|repl|response|disqus|teaser|related", re.IGNORECASE)
 
@@ -344,7 +354,6 @@ def main_text(source: str | None, weights: Weights | None = None, seen: dict | N
     first, last = best_run(scores)
     if first == last:
         return ""
-    first, last = _widened(page, bad, scores, first, last)
     breaks = sorted({p for p, name in page.tags if name in _BLOCK})
     spaces = {p for p, name in page.tags if name == "br"}
     blocks: list[str] = []
@@ -381,28 +390,12 @@ def main_text(source: str | None, weights: Weights | None = None, seen: dict | N
     return "\n\n".join(blocks)
 
 
-def _widened(page: Page, bad: np.ndarray, scores: np.ndarray, first: int, last: int) -> tuple[int, int]:
-    """The region widened to all ``article`` and ``main`` elements that it
-    touches, and cut to them where they hold most of its words."""
-    found = [e for k, e in enumerate(page.elements) if not bad[k] and (e.name in _CONTAINERS or re.search(r"role\s*=\s*[\"']?main", e.attributes))]
-    if not found:
-        return first, last
-    words = np.r_[0.0, np.cumsum(np.maximum(scores, 0))]
-    touched = [e for e in found if e.start < last and e.end > first and words[min(e.end, page.size)] > words[e.start]]
-    if not touched:
-        return first, last
-    start, end = min(e.start for e in touched), max(e.end for e in touched)
-    inside = words[min(end, last, page.size)] - words[max(start, first)]
-    if 2 * inside >= words[last] - words[first]:
-        return start, min(end, page.size)
-    return min(first, start), min(max(last, end), page.size)
-
-
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``html`` replaced by text and n_chars (its code points).
 
     A row per row; a null page gives the empty text; other columns stay as they
-    are; an empty table gives an empty result.
+    are, but for any of the names text and n_chars, which are replaced; an empty
+    table gives an empty result.
     """
     others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     weights = pages.sparkSession.sparkContext.broadcast(default_weights())

@@ -4,19 +4,49 @@ they hold; everything else is content."""
 
 BOILERPLATE_MARK = "data-x"
 
-#: Words that alone in a class or id name page furniture.
-SURROUNDINGS = (
-    "ad ads advert adverts advertisement advertising sponsored promo banner sidebar widget menu nav navbar navigation breadcrumb toolbar header "
-    "footer masthead comment comments discussion replies share sharing social follow related recommended popular newsletter subscribe signup "
-    "login search cookie cookies consent notice notification alert popup modal overlay pagination copyright disclaimer teaser"
-).split()
-
-#: Roles of page furniture.
-ROLES = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
-
 PAGES = [
-    "".join(f'<div data-x role="{r}">{r}</div>' for r in ROLES),
-    "".join(f'<div data-x class="{w}">{w}</div><p data-x id="{w}">{w}</p>' for w in SURROUNDINGS),
+    # A local paper: many kinds of notices and adverts around and inside the text.
+    """<html><head><title>River</title></head><body class="home"><div data-x class="consent" id="cookie"><p>We and our partners store cookies.</p><button>Agree</button></div>
+    <div data-x class="notification">Download our app</div><div data-x class="masthead"><a href="/">The Valley Herald</a><span>Tuesday</span></div>
+    <div data-x class="toolbar"><a>Print</a><a>Larger text</a></div><nav data-x class="navbar menu"><ul class="menu"><li><a href="/news">News</a></li><li><a href="/sport">Sport</a></li></ul></nav>
+    <ol data-x class="breadcrumb"><li><a>Home</a></li><li><a>News</a></li></ol>
+    <article><h1>The river rises</h1><p><b>The river rose</b> by a metre on Sunday.<br>Nobody was hurt.</p>
+    <div data-x class="adverts"><p>Carpets at half price</p></div><p>Volunteers filled <i>three thousand</i> bags with sand.</p><p>The mayor said:<br><q>We were ready.</q></p>
+    <aside data-x class="promo"><h4>More from the valley</h4></aside><p>Rain is expected<br>until Friday.</p></article>
+    <div data-x class="sharing"><a>Send to a friend</a></div><div data-x class="popular"><h3>Most read</h3><ol><li><a>Cows on the road</a></li></ol></div>
+    <section data-x class="discussion" id="comments"><h3>What readers say</h3><div class="comment"><p>My cellar is full of water.</p></div></section>
+    <div data-x class="signup newsletter"><label>Mail</label><input><button>Subscribe</button></div><footer data-x><p>All rights reserved</p></footer></body></html>""",
+    # A recipe blog.
+    """<html><body><div data-x role="banner"><a>Kitchen notes</a></div><div data-x class="search" role="search"><input><button>Find</button></div>
+    <div class="content"><h1>Onion soup</h1><p>Slice the onions<br>and fry them slowly.</p><p>It takes an hour.</p><h2>You need</h2><ul><li>onions</li><li>butter</li><li>bread</li></ul>
+    <h2>Steps</h2><ol><li>Melt the butter.</li><li>Add the onions.</li><li>Pour in the broth.</li></ol><p>Serve it <em>hot</em>.</p><p>Enjoy!</p></div>
+    <div data-x class="advertising"><a>Pans and pots</a></div><div data-x class="sidebar"><div class="widget"><h3>About me</h3><p>I cook every day.</p></div><div class="widget">Tags</div></div>
+    <div data-x class="follow"><a>On the photo site</a></div><div data-x class="replies"><p>Lovely soup!</p><p>I added thyme.</p></div>
+    <div data-x class="related"><a>Leek soup</a><a>Bean soup</a></div><div data-x role="contentinfo" class="disclaimer">No liability for burnt onions</div></body></html>""",
+    # A travel story in a page built of plain divisions.
+    """<html><body><div id="wrap"><div data-x class="ad"><a>Fly now</a></div><div data-x class="alert">Our offices are closed today</div><div data-x id="navigation" class="navigation"><a>Europe</a> <a>Asia</a></div>
+    <div class="text"><h2>Two days in the hills</h2><div>We walked from the station.</div><div>The path was steep.</div><blockquote>Take water with you, they said.</blockquote><p>At noon<br>we reached the hut.</p>
+    <p data-x class="ad">Boots in all sizes</p><p data-x class="sponsored">Hotels near you</p><p>The view was wide.</p><p><strong>Day two</strong></p><p>It rained.</p></div>
+    <div data-x class="share"><a>Mail</a></div><div data-x class="pagination"><a>1</a><a>2</a></div><div data-x class="recommended"><h3>Read next</h3><p>Three days at sea</p></div><div data-x class="teaser"><p>Win a tent</p></div>
+    <div data-x class="comments"><p>We were there last year, and it rained as well.</p></div><div data-x class="login"><a>Sign in</a></div><div data-x class="copyright">The hill club</div></div>
+    <div data-x class="overlay popup" role="dialog"><p>Do not miss our offers</p><button>No thanks</button></div></body></html>""",
+    # A council's page about waste.
+    """<html><body><header data-x><span class="logo">The council</span><form class="search"><input></form></header><div data-x class="cookies"><p>This site uses cookies.</p></div><div data-x role="navigation"><ul><li><a>Services</a></li></ul></div>
+    <main><h1>Waste</h1><p>Bins are emptied on Mondays.</p><table><tr><th>Colour</th><th>Content</th></tr><tr><td>blue</td><td>paper</td></tr><tr><td>green</td><td>garden waste</td></tr></table>
+    <h3>Dates</h3><p>There is no service<br>on holidays.</p><p>Put the bin out by six.</p><dl><dt>Lost bins</dt><dd>Ask for a new one.</dd></dl><p>Thank you.</p></main>
+    <div data-x role="complementary"><h2>Contact</h2><p>Call us.</p></div><form data-x role="form" class="form"><label>Was this helpful?</label><input><button>Yes</button></form>
+    <div data-x role="alert" class="notice">Strike on Tuesday</div><footer data-x role="contentinfo"><ul><li><a>Privacy</a></li><li><a>Imprint</a></li></ul></footer></body></html>""",
+    # A review with reader comments, and another page that carries several adverts.
+    """<html><body><div data-x class="menu" role="menubar"><a>Films</a></div><div data-x class="banner advertisement"><a>Popcorn</a></div><div class="main"><h1>A quiet film</h1><h2>No words at all</h2><p>It has no dialogue.</p><p>That is its strength.</p>
+    <div data-x class="advertisement"><a>Tickets</a></div><p>The pictures<br>speak.</p><ul><li>Length: two hours</li><li>Age: all</li></ul><p>Go and see it.</p></div><div data-x class="ads"><a>Sweets</a></div>
+    <div data-x id="comments" class="comments"><div class="comment"><b>Ann</b><p>I fell asleep.</p></div><div class="comment"><b>Bo</b><p>I loved it very much and saw it twice.</p></div></div>
+    <div data-x class="subscribe modal"><p>Our letter comes on Fridays</p></div><div data-x class="social"><a>Share it</a></div><div data-x id="footer" class="footer">Film club</div></body></html>""",
+    # A help page of an application, and a forum's answer.
+    """<html><body><div data-x class="navbar"><a>Account</a></div><div data-x role="toolbar"><button>Bold</button></div><div data-x role="menu"><a>File</a><a>Edit</a></div><div data-x role="alertdialog"><p>Unsaved changes</p></div>
+    <div class="help"><h1>Saving your work</h1><p>Press the button<br>or wait a minute.</p><pre>Ctrl S</pre><p>Copies are kept for a week.</p></div><div data-x class="widget">Chat with us</div><div data-x role="form"><label>Tell us more</label><input></div>
+    <div data-x class="discussion"><p>It does not work on my phone.</p></div><div data-x class="advert"><p>Paper and ink</p></div></body></html>""",
+    """<html><body><div data-x class="navbar"><a>Forum</a><a>Rules</a></div><div class="answer"><h2>Why is the sky blue?</h2><p>Air scatters blue light more than red light.</p><ul><li>At noon it is blue.</li><li>In the evening it is red.</li></ul></div>
+    <div data-x class="widget"><h3>New questions</h3><a>Why is grass green?</a></div><p data-x class="advert">Telescopes</p><div data-x class="discussion">Join in</div><p data-x class="disclaimer">Answers may be wrong</p><p data-x class="alert">Maintenance tonight</p></body></html>""",
     # A news article with the usual surroundings.
     """<html><body><header data-x class="site-header"><div class="logo">The Paper</div></header>
     <nav data-x class="main-nav"><ul><li><a href="/">Home</a></li><li><a href="/w">World</a></li></ul></nav>
