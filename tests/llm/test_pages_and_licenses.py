@@ -8,7 +8,7 @@ import pytest
 
 from tideline.llm.html_extraction import best_run, default_weights, extract, main_text
 from tideline.llm.license_scan import rank, scan_licenses, scan_text
-from tideline.llm.license_texts import LEADS, LICENSES
+from tideline.llm.license_texts import LEADS, LICENSES, long_texts
 
 
 def test_best_run_is_the_best():
@@ -173,3 +173,33 @@ def test_whole_texts_far_from_their_cue():
         assert found(f"{filler}\n\n{spaced}\n\n{filler}") == [(name, "text")], name
     gpl = LICENSES["GPL-3.0"][0][0]
     assert ("GPL-3.0", "text") in found(gpl.replace("version 3", "version 7") + "\n\n" + filler + gpl)
+
+
+def test_long_texts():
+    filler = "Plain words about a river and its old bridges near the town. " * 300
+    for name, t in long_texts().items():
+        assert found(t) == [(name, "text")], name
+        [f] = scan_text(f"{filler}\n{t.replace('without', 'with no', 2)}\n{filler}")
+        assert (f.license, f.wording) == (name, "text") and f.missing == ("without",) * min(2, t.count("without"))
+        half = " ".join(t.split()[: len(t.split()) // 2])
+        assert (name, "text") not in found(half) or name == "LGPL-3.0"
+    gpl = long_texts()["GPL-3.0"]
+    other = scan_text(gpl.replace("General Public", "Affero General Public"))
+    assert all(f.end - f.start < 10_000 for f in other)  # a decisive word differs
+    two = found(f"{long_texts()['Apache-2.0']}\n{filler}\n{long_texts()['MPL-2.0']}")
+    assert two == [("Apache-2.0", "text"), ("MPL-2.0", "text")]
+
+
+def test_wordings_in_comments():
+    for name in ("MIT", "BSD-2-Clause", "ISC", "Apache-2.0"):
+        lines = LICENSES[name][0][0].splitlines()
+        assert found("/*\n" + "\n".join(f" * {line}" for line in lines) + "\n */\nint main;") == [(name, "text")], name
+
+
+def test_the_first_confirmed_of_the_ranking_wins():
+    """A block of two licences: the one that saves more bytes is found first, and both are found."""
+    mit, isc = LICENSES["MIT"][0][0], LICENSES["ISC"][0][0]
+    ranking = [x.name for _, x in rank(f"{mit} Released under the ISC License.")]
+    assert ranking[0] == "MIT"
+    assert found(f"{isc}\n\n{mit}") == [("ISC", "text"), ("MIT", "text")]
+    assert found(f"Released under the ISC License. {mit}") == [("ISC", "notice"), ("MIT", "text")]

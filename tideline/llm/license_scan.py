@@ -1,17 +1,22 @@
 """Licence scans by conditional compression.
 
-A candidate block is a stretch of words around words that licences use, as long
-to either side as the longest wording, across blank lines. It is
-compressed with zstandard, once alone and once for each licence with that
-licence's wordings as the raw dictionary; the licences are ranked by how much
-their dictionary saves. The ranking only orders, and every licence is tried: a winner is confirmed by its
-exact wording differences, the words of a wording that the block lacks and those
-that the block has more. What is confirmed leaves the block, and what remains
-left and right of it is looked at again, so blocks with several licences give
-them all.
-
-Documents are independent of each other: one pass, without a shuffle. Documents
-without a cue never reach Python.
+A candidate block is a stretch of words that holds every wording around a cue
+whole, across blank lines. It is compressed with zstandard, once alone and once
+for each licence with that licence's wordings as the raw dictionary; the licences
+are ranked by how much their dictionary saves, and the first in that order that
+its exact wording differences confirm has won: the words of a wording that the
+block lacks and those that the block has more. Nothing is left out by its rank,
+for a short notice may save no byte. What is confirmed leaves the block, and what
+remains left and right of it is looked at again, so blocks with several licences
+give them all.
+
+Long texts (``license_texts.long_texts``) have blocks of their own: a text with
+few differences has a stretch of words intact, so a block is where one of its
+eight-word grams stands, as long as the text.
+
+Long stretches with cues are cut into blocks that overlap by the longest wording,
+so that none is cut in all of them. Documents are independent of each other: one
+pass, without a shuffle. Documents without a cue never reach Python.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
-from .license_texts import LEADS, LICENSES
+from .license_texts import LEADS, LICENSES, long_texts
 
 #: Characters between cues of one block, and around them.
 REACH = 400
@@ -41,12 +46,19 @@ FOLLOWING = 1_000
 BLOCK_WORDS = 2_400
 BLOCK = 16_384
 OVERLAP = 4_096
+#: Words of a gram of a long text, and the distance of those that are looked for; a stretch of GRAM + STEP - 1 words has one.
+GRAM = 8
+STEP = 4
 #: Share of a whole text's words that may be missing or additional.
 TOLERANCE = 0.08
 CACHE_BLOCKS = 20_000
 
 _LOWER = str.maketrans(UPPER, LOWER)
-_WORD = re.compile(r"\*|[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: In a wording a star stands for other words; in a text it is none (comments have them at each line's begin).
+_WORD_OR_STAR = re.compile(rf"\*|{_WORD.pattern}")
+#: Words that a long text of another licence has.
+_DECISIVE_IN_LONG = re.compile("lesser|affero|noncommercial|sharealike|noderivatives")
 #: Words by which licences differ although most of their wording is the same.
 _DECISIVE = re.compile(r".*\d|lesser|affero|by|sa|nc|nd|noncommercial|sharealike|noderivatives|neither|endorse")
 
@@ -73,13 +85,20 @@ class License:
     name: str
     texts: list[Wording]
     notices: frozenset[tuple[str, ...]]
+    long: list[Wording]
     compressor: zstandard.ZstdCompressor = field(repr=False)
+    #: With the long text as well.
+    whole: zstandard.ZstdCompressor = field(repr=False)
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.translate(_LOWER))
 
 
+def words_and_stars(text: str) -> list[str]:
+    return _WORD_OR_STAR.findall(text.translate(_LOWER))
+
+
 def _any_of(phrases: set[str]) -> str:
     """A pattern for the phrases' words with anything between them."""
     return "|".join(sorted({_BETWEEN.join(re.escape(w) for w in words_of(p)) for p in phrases}))
@@ -96,7 +115,7 @@ _CUE = re.compile(CUE)
 
 def _wording(text: str) -> Wording:
     words, gaps = [], set()
-    for w in words_of(text):
+    for w in words_and_stars(text):
         if w == "*":
             gaps.add(len(words))
         else:
@@ -104,6 +123,11 @@ def _wording(text: str) -> Wording:
     return Wording(tuple(words), frozenset(gaps), Counter(words))
 
 
+def _long_wording(text: str) -> Wording:
+    words = tuple(words_of(text))
+    return Wording(words, frozenset(), Counter(words))
+
+
 def _compressor(dictionary: bytes | None) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
     return zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -111,12 +135,14 @@ def _compressor(dictionary: bytes | None) -> zstandard.ZstdCompressor:
 
 @cache
 def licenses() -> tuple[License, ...]:
-    out = []
+    out, longs = [], long_texts()
     for name, (texts, names) in LICENSES.items():
+        long = [longs[name]] if name in longs else []
         notices = frozenset(tuple(words_of(f"{lead} {the}{n}")) for n in names for lead in LEADS for the in ("", "the "))
         # nearer to the end is cheaper to refer to, so whole texts come last
         dictionary = "\n".join([f"{lead} {n}. {lead} the {n}." for n in names for lead in LEADS[:2]] + [" ".join(t.split()) for t in texts])
-        out.append(License(name, [_wording(t) for t in texts], notices, _compressor(dictionary.encode())))
+        whole = "\n".join([dictionary, *(" ".join(t.split()) for t in long)])
+        out.append(License(name, [_wording(t) for t in texts], notices, [_long_wording(t) for t in long], _compressor(dictionary.encode()), _compressor(whole.encode())))
     return tuple(out)
 
 
@@ -125,12 +151,13 @@ def _plain() -> zstandard.ZstdCompressor:
     return _compressor(None)
 
 
-def rank(block: str) -> list[tuple[int, License]]:
-    """All licences by the bytes that their dictionary saves, most first; ties are
-    in order of the licence list."""
+def rank(block: str, whole: bool = False) -> list[tuple[int, License]]:
+    """All licences by the bytes that their dictionary (with ``whole``, that of
+    the long text as well) saves, most first; ties are in order of the licence
+    list."""
     data = " ".join(block.split()).encode("utf-8", "replace")
     alone = len(_plain().compress(data))
-    saved = [(alone - len(x.compressor.compress(data)), x) for x in licenses()]
+    saved = [(alone - len((x.whole if whole else x.compressor).compress(data)), x) for x in licenses()]
     return sorted(saved, key=lambda s: -s[0])
 
 
@@ -175,11 +202,13 @@ def differences(wording: Wording, words: list[str]) -> tuple[int, int, list[str]
     return low + matches[0].b, low + b, missing, extra, (anchor.b, anchor.b + anchor.size)
 
 
-def confirm(found: License, words: list[str]) -> tuple[str, int, int, list[str], list[str]] | None:
+def confirm(found: License, words: list[str], long: bool = False) -> tuple[str, int, int, list[str], list[str]] | None:
     """Kind and place of what the words hold of the licence, if anything: a whole
     text with few differences of which none is decisive, or else a notice, which
-    stands there word by word or not at all."""
-    for wording in found.texts:
+    stands there word by word or not at all. With ``long`` it is the long text or
+    nothing."""
+    decisive = _DECISIVE_IN_LONG if long else _DECISIVE
+    for wording in found.long if long else found.texts:
         parts = [(0, len(words))]
         while parts:
             low, high = parts.pop()
@@ -190,10 +219,10 @@ def confirm(found: License, words: list[str]) -> tuple[str, int, int, list[str],
             if at is None:
                 continue
             first, last, missing, extra, (a, b) = at
-            if len(missing) + len(extra) <= TOLERANCE * len(wording.words) and not any(_DECISIVE.fullmatch(w) for w in (*missing, *extra)):
+            if len(missing) + len(extra) <= TOLERANCE * len(wording.words) and not any(decisive.fullmatch(w) for w in (*missing, *extra)):
                 return "text", low + first, low + last, missing, extra
             parts += [(low + b, high), (low, low + a)]  # it may stand beside what is only like it
-    at = notice(found, words)
+    at = None if long else notice(found, words)
     return at and ("notice", *at, [], [])
 
 
@@ -212,28 +241,24 @@ class Finding:
     extra: tuple[str, ...] = ()
 
 
-def scan_block(block: str) -> list[Finding]:
-    """The confirmed licences of a block."""
+def scan_block(block: str, long: bool = False) -> list[Finding]:
+    """The confirmed licences of a block (with ``long``, of long texts)."""
     out: list[Finding] = []
     parts = [(0, len(block))]
     while parts:
         start, end = parts.pop()
         part = block[start:end]
-        if not _CUE.search(part):
+        if not long and not _CUE.search(part):
             continue
         lower = part.translate(_LOWER)
         places = [m.span() for m in _WORD.finditer(lower)]
         words = [lower[a:b] for a, b in places]
-        ranking = rank(part)
-        best = None
-        for saved, candidate in ranking:
-            got = confirm(candidate, words)
-            # A lower rank wins only if it covers more words.
-            if got and (best is None or got[2] - got[1] > best[2][2] - best[2][1]):
-                best = (saved, candidate, got)
-        if best is None:
+        if long and len(words) < GRAM:
+            continue
+        won = next(((saved, x, got) for saved, x in rank(part, long) if (got := confirm(x, words, long))), None)
+        if won is None:
             continue
-        saved, candidate, (kind, first, last, missing, extra) = best
+        saved, candidate, (kind, first, last, missing, extra) = won
         a, b = start + places[first][0], start + places[last - 1][1]
         out.append(Finding(a, b, candidate.name, candidate.name, kind, saved, tuple(missing), tuple(extra)))
         parts += [(b, end), (start, a)]
@@ -266,6 +291,43 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         yield places[first][0], places[last - 1][1]
 
 
+@cache
+def _grams() -> dict[tuple[str, ...], list[tuple[int, int]]]:
+    """Grams of the long texts, ``STEP`` words apart: (number of the text, place)."""
+    out: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for number, w in enumerate(w for x in licenses() for w in x.long):
+        for at in range(0, len(w.words) - GRAM + 1, STEP):
+            out.setdefault(w.words[at : at + GRAM], []).append((number, at))
+    return out
+
+
+def long_windows(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of a text in which a long text may stand, from where its begin
+    would be to where its end would."""
+    lower = text.translate(_LOWER)
+    places = [m.span() for m in _WORD.finditer(lower)]
+    words = [lower[a:b] for a, b in places]
+    known, longs = _grams(), [w for x in licenses() for w in x.long]
+    found: dict[int, list[tuple[int, int]]] = {}
+    for at, gram in enumerate(zip(*(words[k:] for k in range(GRAM)), strict=False)):
+        for number, place in known.get(gram, ()):
+            slack = longs[number].slack
+            found.setdefault(number, []).append((at - place - slack, at - place + len(longs[number].words) + slack))
+    stretches: set[tuple[int, int]] = set()
+    for spans in found.values():
+        first = last = None
+        for a, b in sorted(spans):
+            if last is not None and a <= last:
+                last = max(last, b)
+                continue
+            if last is not None:
+                stretches.add((first, last))
+            first, last = a, b
+        stretches.add((first, last))
+    for a, b in sorted(stretches):
+        yield places[max(a, 0)][0], places[min(b, len(places)) - 1][1]
+
+
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """Blocks around cues, at whole words or lines, that are findings of their
     own where no licence is confirmed."""
@@ -318,20 +380,21 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield from cut(start, end)
 
 
-def scan_text(text: str | None, known: dict[str, list[Finding]] | None = None) -> list[Finding]:
+def scan_text(text: str | None, known: dict[tuple[bool, str], list[Finding]] | None = None) -> list[Finding]:
     """All findings in a whole text, in order. Blocks without a confirmed licence
     are findings without one; a null or empty text has none."""
     text = text or ""
     out: list[Finding] = []
-    for start, end in windows(text):
+    has_cue = _CUE.search(text)
+    for long, start, end in [*((False, *x) for x in windows(text)), *((True, *x) for x in (long_windows(text) if has_cue else ()))]:
         block = text[start:end]
-        found = known.get(block) if known is not None else None
+        found = known.get((long, block)) if known is not None else None
         if found is None:
-            found = scan_block(block)
+            found = scan_block(block, long)
             if known is not None:
                 if len(known) >= CACHE_BLOCKS:
                     known.clear()
-                known[block] = found
+                known[long, block] = found
         for f in found:
             out.append(Finding(start + f.start, start + f.end, f.license, f.nearest, f.wording, f.saved_bytes, f.missing, f.extra))
     kept: list[Finding] = []
@@ -364,7 +427,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[Finding]] = {}
+        known: dict[tuple[bool, str], list[Finding]] = {}
         for batch in batches:
             rows, of = [], []
             for k, text in enumerate(batch.column(1)):

@@ -1,8 +1,11 @@
 """Wordings of licences. Published licence texts and notices.
 
-``*`` stands for words that differ from case to case (years, names).
+``*`` stands for words that differ from case to case (years, names). The folder
+``wordings`` holds the whole texts of long licences, as published, one a file.
 """
 
+from importlib.resources import files
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
@@ -102,3 +105,9 @@ LEADS = [
     "Licensed under", "Released under", "Distributed under", "Available under", "Published under", "Provided under", "Covered by", "Subject to",
     "licensed under the terms of", "released under the terms of", "distributed under the terms of", "SPDX-License-Identifier:", "License:", "Licence:",
 ]
+
+
+def long_texts() -> dict[str, str]:
+    """Licence -> its whole text, for those that ``wordings`` has."""
+    found = files(__package__).joinpath("wordings").iterdir()
+    return {x.name.removesuffix(".txt"): x.read_text("utf-8") for x in sorted(found, key=lambda x: x.name) if x.name.endswith(".txt")}
