@@ -56,6 +56,9 @@ DIM = 24
 #: Words whose outputs a worker that codes texts remembers.
 CODED = 500_000
 _FLUSH = 300_000
+#: Texts that are scored together, and tokens whose vectors are held at once.
+SLICE = 64
+_STEP = 1 << 14
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -99,14 +102,37 @@ class Coder(dict):
         return found
 
 
-def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Rows of ``values`` summed by ``index`` (16 bits, which sort fastest)."""
+def _groups(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in ``index`` (16 bits, which sort fastest), the order
+    that sorts it, and where each number begins in that order."""
     order = np.argsort(index, kind="stable")
     own = index.take(order)
     cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[own[cuts]] = np.add.reduceat(values.take(order, 0), cuts, axis=0)
-    return out
+    return own.take(cuts), order, cuts
+
+
+def _sums(values: np.ndarray, order: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of groups of rows of ``values`` (32 bits, an even width), two columns
+    at a time: as complex numbers."""
+    return np.add.reduceat(values.take(order, 0).view(np.complex64), cuts, axis=0).view(np.float32)
+
+
+def _step(value: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: float, rows: np.ndarray | None = None) -> None:
+    """An AdaGrad step, of some rows or all."""
+    seen = grad * grad
+    if rows is None:
+        squares += seen
+        seen[...] = squares
+    else:
+        seen += squares.take(rows, 0)
+        squares[rows] = seen
+    np.sqrt(seen, out=seen)
+    grad /= seen
+    grad *= np.float32(rate)
+    if rows is None:
+        value -= grad
+    else:
+        value[rows] = value.take(rows, 0) - grad
 
 
 @dataclass
@@ -176,15 +202,19 @@ class LogBilinear:
             gr = -1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", q, ow) + bias[w], 80)))
             gq = g @ od
             gq += gr[:, None] * ow
-            g_out = _sums(np.r_[w, drawn], np.r_[gr[:, None] * q, g.T @ q], size)
-            g_bias = np.bincount(np.r_[w, drawn], np.r_[gr, g.sum(0)], size).astype(np.float32)
-            g_context = _sums(np.r_[f, h], np.r_[gq @ self.far.T, gq @ self.near.T], size + 1)
-            for value, squares, grad in zip(self.arrays(), seen.arrays(), (g_context, eh.T @ gq, ef.T @ gq, g_out, g_bias), strict=True):
-                grad *= np.float32(1 / n)
-                squares += grad * grad
-                grad /= np.sqrt(squares)
-                grad *= np.float32(rate)
-                value -= grad
+            gr /= n
+            g /= n
+            gq /= n
+            rows, order_of, cuts = _groups(np.r_[w, drawn])
+            g_out = _sums(np.r_[gr[:, None] * q, g.T @ q], order_of, cuts)
+            g_bias = np.add.reduceat(np.r_[gr, g.sum(0)].take(order_of), cuts)
+            touched, order_of, cuts = _groups(np.r_[f, h])
+            g_context = _sums(np.r_[gq @ self.far.T, gq @ self.near.T], order_of, cuts)
+            _step(self.near, seen.near, eh.T @ gq, rate)
+            _step(self.far, seen.far, ef.T @ gq, rate)
+            _step(self.context, seen.context, g_context, rate, touched)
+            _step(self.out, seen.out, g_out, rate, rows)
+            _step(self.bias, seen.bias, g_bias, rate, rows)
 
     def normaliser(self, step: int = 256) -> np.ndarray:
         """log of the sum over outputs for every context (far, near). The scores
@@ -217,54 +247,59 @@ class TextModel:
     shortlist: int
 
     def __post_init__(self) -> None:
-        self._number: dict[bytes, int] | None = None
+        self._number: dict[bytes | None, int] | None = None
 
     def __getstate__(self):
         return {**self.__dict__, "_number": None}
 
     @property
-    def number(self) -> dict[bytes, int]:
+    def number(self) -> dict[bytes | None, int]:
+        """The common words' numbers; None stands for the end of a text."""
         if self._number is None:
-            self._number = {w: k + 1 for k, w in enumerate(self.words)}
+            self._number = {None: 0} | {w: k + 1 for k, w in enumerate(self.words)}
             self._far = self.network.context @ self.network.far
             self._near = self.network.context @ self.network.near
+            self._known = np.r_[self.count > 0, False]
+            self._base = np.r_[self.base(self.count), 0.0]
+            # The last one is for words that are not common: their share is added later.
+            self._inside = np.r_[self.inside, 0.0]
+            self._output = np.r_[self.output, -1].astype(np.int16)
         return self._number
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def score(self, found: list[bytes]) -> tuple[int, float, float, Counter]:
-        """Of a text's words and its end: known tokens, base and model scores,
-        all without the share that rare words have in their class, and the rare
-        words' occurrences."""
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+        """Of each text's words and its end: tokens, known tokens, base and model
+        scores, all without the share that rare words have in their class, and the
+        rare words' occurrences."""
         number = self.number
         start = len(self.network.context) - 1
-        known, base, score, rare = 0, 0.0, 0.0, Counter()
-        far, near = start, start
-        step = 1 << 16
-        for at in range(0, len(found) + 1, step):
-            part = found[at : at + step]
-            n = np.fromiter(map(number.get, part, repeat(-1)), np.int64, len(part))
-            missing = np.flatnonzero(n < 0)
-            o = self.output[n]
-            if len(missing):
-                others = [part[k] for k in missing]
-                rare.update(others)
-                o[missing] = [self.shortlist + 1 + ending_class(w, self.classes) for w in others]
-            held = n[n >= 0]
-            if at + step > len(found):  # the end
-                o = np.r_[o, 0]
-                held = np.r_[held, 0]
-            if not len(o):
-                continue
-            known += int((self.count[held] > 0).sum())
-            base += float(self.base(self.count[held]).sum())
-            h = np.r_[near, o[:-1]]
-            f = np.r_[far, near, o[:-2]] if len(o) > 1 else np.r_[far]
-            z = np.einsum("ij,ij->i", self._far[f] + self._near[h], self.network.out[o]) + self.network.bias[o] - self.log_z[f, h]
-            score += float(z.sum(dtype=np.float64)) / np.log(10) + float(self.inside[held].sum())
-            far, near = (int(o[-2]) if len(o) > 1 else near), int(o[-1])
-        return known, base, score, rare
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        words = [w for t in texts for w in (*t, None)]
+        n = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
+        o = self._output.take(n)
+        missing = np.flatnonzero(n < 0)
+        others = [words[k] for k in missing.tolist()]
+        o[missing] = np.fromiter((self.shortlist + 1 + ending_class(w, self.classes) for w in others), np.int16, len(others))
+        cuts = np.searchsorted(missing, np.r_[0, ends])
+        rare = [Counter(others[a:b]) if b > a else {} for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        near, far = np.empty_like(o), np.empty_like(o)
+        near[1:], far[2:] = o[:-1], o[:-2]
+        near[begins] = start
+        far[begins] = start
+        second = begins[sizes > 1] + 1
+        far[second] = start
+        z = np.empty(len(o), np.float32)
+        for at in range(0, len(o), _STEP):
+            f, h, w = (x[at : at + _STEP] for x in (far, near, o))
+            q = self._far.take(f, 0)
+            q += self._near.take(h, 0)
+            z[at : at + _STEP] = np.einsum("ij,ij->i", q, self.network.out.take(w, 0)) + self.network.bias.take(w) - self.log_z[f, h]
+        score = z / np.log(10) + self._inside.take(n)
+        return sizes, np.add.reduceat(self._known.take(n), begins, dtype=np.int64), np.add.reduceat(self._base.take(n), begins), np.add.reduceat(score, begins), rare
 
 
 def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, shards: int) -> DataFrame:
@@ -278,7 +313,11 @@ def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, s
         for batch in batches:
             of, part, codes = [], [], []
             for k, text in enumerate(batch.column(1)):
-                t = np.array([start, start, *map(code, tokens(text.as_py())), 0], np.int16)
+                words = tokens(text.as_py())
+                t = np.empty(len(words) + 3, np.int16)
+                t[0] = t[1] = start
+                t[2:-1] = np.fromiter(map(code, words), np.int16, len(words))
+                t[-1] = 0
                 for number, at in enumerate(range(0, len(t) - 2, PART)):
                     of.append(k)
                     part.append(number)
@@ -406,17 +445,19 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             words, n, ends = [], [], [0]
-            for text in batch.column(3):
-                found = tokens(text.as_py())
-                known, base, score, rare = fitted.score(found)
-                for column, value in zip(out, (len(found) + 1, known, base, score), strict=True):
+            for at in range(0, batch.num_rows, SLICE):
+                *values, rare = fitted.score([tokens(x.as_py()) for x in batch.column(3).slice(at, SLICE)])
+                for column, value in zip(out, values, strict=True):
                     column.append(value)
-                words += rare
-                n += rare.values()
-                ends.append(len(words))
+                for counts in rare:
+                    words += counts
+                    n += counts.values()
+                    ends.append(len(words))
+            if not out[0]:
+                continue
             of = pa.array([ending_class(w, classes) for w in words], pa.int32())
             rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), of], names=["word", "n", "class"])
-            values = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            values = [pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], names=["rid", "doc_id", "learnt", "n_tokens", "n_known", "base", "score", "rare"])
 
     placed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "learnt", "text")
