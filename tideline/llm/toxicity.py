@@ -126,6 +126,7 @@ class Linear:
         order = np.argsort(ids, kind="stable")
         rows_by_id = rows.take(order)
         by_row, by_id = _group_sums(rows, n), _group_sums(ids.take(order), size)
+        del order
         share = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
         theta = np.zeros(size + extra + 1)
         theta[-1] = np.log(share / (1 - share))
@@ -202,8 +203,8 @@ def train_chain(docs: list[np.ndarray], labels: np.ndarray, categories: list[str
     number = _select(docs, labels, features)
     size = int(number.max(initial=-1)) + 1
     own = [n[n >= 0] for n in (number[d] for d in docs)]
-    rows = np.repeat(np.arange(len(own)), [len(d) for d in own])
-    ids = np.concatenate(own) if own else np.empty(0, np.int64)
+    rows = np.repeat(np.arange(len(own), dtype=np.int32), [len(d) for d in own])
+    ids = np.concatenate(own) if own else np.empty(0, np.int32)
     fold = np.arange(len(docs)) % folds
     before = np.zeros((len(docs), 0))
     models, thresholds = [], []
@@ -217,7 +218,7 @@ def train_chain(docs: list[np.ndarray], labels: np.ndarray, categories: list[str
             continue
 
         def fit(use: np.ndarray, before=before, y=y) -> Linear:
-            place = np.cumsum(use) - 1
+            place = np.cumsum(use, dtype=np.int32) - np.int32(1)
             keep = use[rows]
             return Linear.fit(place[rows[keep]], ids[keep], before[use], y[use], size)
 
