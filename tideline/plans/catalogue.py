@@ -11,6 +11,7 @@ from ..sources import commands, config, driver
 from ..sources.adapters import events_log, ops_events, ops_lineitem, ops_orders, table
 from ..sources.pairs import read_pairs, write_pairs
 from ..sources.shared import new_path
+from ..sources.store import Store
 from ..streaming.latest import stream_latest
 
 #: Operations per run, level ratio, and page size that suit the test tables.
@@ -294,6 +295,22 @@ def script_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return driver.run_files(spark, f"{root}/script", f"{root}/config")
 
 
+def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the summary command prints of the whole log."""
+    return commands.summary(ops_events(spark, sf_dir), FLUSH_EVERY, RATIO)
+
+
+def store_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a store that took the log in by batches, of which several fill
+    its buffer, and merged its levels: files, filters and manifests."""
+    ops = ops_events(spark, sf_dir)
+    store = Store(spark, new_path(spark, "store"), config.Config(ratio=2), files_per_run=2, flush_every=2 * FLUSH_EVERY)
+    top = _top(ops)
+    for k in range(6):
+        store.write(ops.where((F.col("seq") >= k * top // 6) & (F.col("seq") < ((k + 1) * top // 6 if k < 5 else top + 1))))
+    return store.state()
+
+
 def buffer_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that one half of the buffer holds, by its configured size."""
     return config.capacities(spark.range(1, 2_000_001, 799).select(F.col("id").alias("c0size")))
@@ -334,6 +351,8 @@ QUERIES = {
     "point_get_runs": point_get_runs,
     "parse_commands": parse_commands,
     "script_file": script_file,
+    "summary_text": summary_text,
+    "store_state": store_state,
     "buffer_capacity": buffer_capacity,
     "config_parse": config_parse,
     "load_pairs": load_pairs,
@@ -428,6 +447,14 @@ ORACLE_SQL = {
     + ") AS t(ord, op, a, b, path, message)",
     "script_file": """SELECT CAST(ord AS BIGINT) AS ord, output FROM (VALUES (3, '10'), (5, '1:10 '), (6, 'Total Pairs: 1' || chr(10) || 'LVL1: 1' || chr(10) || '1:10:L01 '),
         (8, 'Could not read from file /no/such/file.bin')) AS t(ord, output)""",
+    "store_state": _LIVE,
+    "summary_text": f"""WITH RECURSIVE {_HELD.replace("SELECT event_id AS seq", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq")},
+        sums AS (SELECT level, count(*) FILTER (NOT is_delete) AS pairs FROM held GROUP BY level),
+        counts AS (SELECT level, pairs FROM sums WHERE level = 0 AND pairs > 0 UNION ALL SELECT level, coalesce(pairs, 0) FROM levels LEFT JOIN sums USING (level)),
+        texts AS (SELECT level, coalesce(string_agg(key || ':' || value || ':L' || lpad(CAST(level + 1 AS VARCHAR), 2, '0') || ' ', '' ORDER BY run DESC, key) FILTER (NOT is_delete), '') AS line
+            FROM (SELECT 0 AS level UNION ALL SELECT level FROM levels) LEFT JOIN held USING (level) GROUP BY level)
+        SELECT 'Total Pairs: ' || (SELECT count(*) FROM held WHERE NOT is_delete) || chr(10) || coalesce((SELECT string_agg('LVL' || (level + 1) || ': ' || pairs, ', ' ORDER BY level) FROM counts), '')
+            || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY level) FROM texts) AS output""",
     "buffer_capacity": "SELECT range AS c0size, 400 * ((range // 2 + 1) // 400 + 1) AS entries FROM range(1, 2000001, 799)",
     "config_parse": "SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('lsm.ratio', 5.0), ('lsm.c0size', 1000.0), ('lsm.threadCount', 4.0), ('lsm.bloomFPRate', 0.05)) AS t(name, value)",
     "load_pairs": f"WITH ops AS (SELECT * FROM ({_EVENTS}) WHERE NOT is_delete), newest AS ({_NEWEST}) SELECT key, value FROM newest",

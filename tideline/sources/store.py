@@ -130,6 +130,11 @@ class Store:
     def _path(self, run: Run) -> str:
         return f"{self.root}/runs/run={run.run_id}"
 
+    def _capacity(self, level: int) -> int:
+        """Records that a run of a level holds at most, if batches fit the buffer."""
+        unit = 1 if level < 2 else 2 * self.config.ratio ** (level - 1)
+        return min(self.flush_every * unit, (1 << 31) - 1)
+
     def _write_run(self, records: DataFrame, level: int, run_id: int) -> Run:
         path = f"{self.root}/runs/run={run_id}"
         n = self.files_per_run
@@ -139,6 +144,7 @@ class Store:
             .write.mode("overwrite")
             .option("parquet.bloom.filter.enabled#key", "true")
             .option("parquet.bloom.filter.fpp#key", str(self.config.fp_rate))
+            .option("parquet.bloom.filter.expected.ndv#key", str(self._capacity(level)))
             .option("parquet.enable.dictionary#key", "false")
             .parquet(path)
         )
