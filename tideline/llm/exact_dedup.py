@@ -170,7 +170,8 @@ def exact_dedup(
     if call:
         earlier = write_shared(anchors.where(F.col("call") < call).drop("call"), "dedup-anchors")
         known = known.unionByName(fetch(spark, earlier, text_col).select("digest", F.col("norm").alias("kept_norm")))
-    differs = texts.join(known, "digest").where("norm <> kept_norm").select("digest").distinct()
+    # Not made distinct before it is written: an aggregate on the join's key would keep a hot digest in one task.
+    differs = texts.join(known, "digest").where("norm <> kept_norm").select("digest")
     differs.write.parquet(f"{root}/collided/call={call}")
     collided = spark.read.schema("digest binary").option("recursiveFileLookup", "true").parquet(f"{root}/collided").distinct()
 
