@@ -61,9 +61,14 @@ SLICE = 64
 _STEP = 1 << 14
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, without its end."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
+def tokens(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8, without its end."""
+    return text.translate(ASCII_LOWER).split() if text else []
+
+
+def utf8(texts: pa.Array) -> list[bytes | None]:
+    """The texts of a column as they are stored."""
+    return texts.cast(pa.binary()).to_pylist()
 
 
 def ending_class(word: bytes, classes: int = CLASSES) -> int:
@@ -79,8 +84,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens(text.as_py()))
+            for text in utf8(batch.column(0)):
+                counts.update(tokens(text))
                 if len(counts) > _FLUSH:
                     yield out(counts)
                     counts = Counter()
@@ -107,7 +112,9 @@ def _groups(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     that sorts it, and where each number begins in that order."""
     order = np.argsort(index, kind="stable")
     own = index.take(order)
-    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    first = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=first[1:])
+    cuts = np.flatnonzero(first)
     return own.take(cuts), order, cuts
 
 
@@ -185,36 +192,42 @@ class LogBilinear:
         cumulated = np.cumsum(unigram)
         order = rng.permutation(len(target))
         far_of, near_of, said = (x.astype(np.int16).take(order) for x in (history[:, 0], history[:, 1], target))
-        for k in range(0, len(order), batch):
-            f, h, w = far_of[k : k + batch], near_of[k : k + batch], said[k : k + batch]
-            n = len(w)
-            drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise) * cumulated[-1]), size - 1).astype(np.int16)
-            bias = self.bias - log_noise
-            ef, eh = self.context.take(f, 0), self.context.take(h, 0)
-            q = ef @ self.far + eh @ self.near
-            ow, od = self.out.take(w, 0), self.out.take(drawn, 0)
-            # The probability that a draw is a target, in place: the largest array of the pass.
-            g = q @ -od.T
-            g -= bias[drawn]
-            np.exp(np.minimum(g, 80, out=g), out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            gr = -1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", q, ow) + bias[w], 80)))
-            gq = g @ od
-            gq += gr[:, None] * ow
-            gr /= n
-            g /= n
-            gq /= n
-            rows, order_of, cuts = _groups(np.r_[w, drawn])
-            g_out = _sums(np.r_[gr[:, None] * q, g.T @ q], order_of, cuts)
-            g_bias = np.add.reduceat(np.r_[gr, g.sum(0)].take(order_of), cuts)
-            touched, order_of, cuts = _groups(np.r_[f, h])
-            g_context = _sums(np.r_[gq @ self.far.T, gq @ self.near.T], order_of, cuts)
-            _step(self.near, seen.near, eh.T @ gq, rate)
-            _step(self.far, seen.far, ef.T @ gq, rate)
-            _step(self.context, seen.context, g_context, rate, touched)
-            _step(self.out, seen.out, g_out, rate, rows)
-            _step(self.bias, seen.bias, g_bias, rate, rows)
+        draws = rng.random((-(-len(order) // batch), noise)) * cumulated[-1]
+        draws = np.minimum(np.searchsorted(cumulated, draws), size - 1).astype(np.int16)
+        join = np.concatenate
+        with np.errstate(over="ignore"):  # of an exponential, whose inverse is then 0
+            for k, drawn in zip(range(0, len(order), batch), draws, strict=True):
+                f, h, w = far_of[k : k + batch], near_of[k : k + batch], said[k : k + batch]
+                share = np.float32(1 / len(w))
+                bias = self.bias - log_noise
+                ef, eh = self.context.take(f, 0), self.context.take(h, 0)
+                q = ef @ self.far
+                q += eh @ self.near
+                ow, od = self.out.take(w, 0), self.out.take(drawn, 0)
+                # The probability that a draw is a target, in place: the largest array of the pass.
+                g = q @ -od.T
+                g -= bias.take(drawn)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                gr = np.einsum("ij,ij->i", q, ow)
+                gr += bias.take(w)
+                np.exp(gr, out=gr)
+                gr += 1
+                np.divide(-share, gr, out=gr)
+                gq = g @ od
+                gq *= share
+                gq += gr[:, None] * ow
+                rows, order_of, cuts = _groups(join((w, drawn)))
+                g_out = _sums(join((gr[:, None] * q, (g.T @ q) * share)), order_of, cuts)
+                g_bias = np.add.reduceat(join((gr, g.sum(0) * share)).take(order_of), cuts)
+                touched, order_of, cuts = _groups(join((f, h)))
+                g_context = _sums(join((gq @ self.far.T, gq @ self.near.T)), order_of, cuts)
+                _step(self.near, seen.near, eh.T @ gq, rate)
+                _step(self.far, seen.far, ef.T @ gq, rate)
+                _step(self.context, seen.context, g_context, rate, touched)
+                _step(self.out, seen.out, g_out, rate, rows)
+                _step(self.bias, seen.bias, g_bias, rate, rows)
 
     def normaliser(self, step: int = 256) -> np.ndarray:
         """log of the sum over outputs for every context (far, near). The scores
@@ -312,8 +325,8 @@ def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, s
         code = Coder(output).__getitem__
         for batch in batches:
             of, part, codes = [], [], []
-            for k, text in enumerate(batch.column(1)):
-                words = tokens(text.as_py())
+            for k, text in enumerate(utf8(batch.column(1))):
+                words = tokens(text)
                 t = np.empty(len(words) + 3, np.int16)
                 t[0] = t[1] = start
                 t[2:-1] = np.fromiter(map(code, words), np.int16, len(words))
@@ -446,7 +459,7 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
             out: tuple[list, ...] = ([], [], [], [])
             words, n, ends = [], [], [0]
             for at in range(0, batch.num_rows, SLICE):
-                *values, rare = fitted.score([tokens(x.as_py()) for x in batch.column(3).slice(at, SLICE)])
+                *values, rare = fitted.score([tokens(x) for x in utf8(batch.column(3).slice(at, SLICE))])
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
                 for counts in rare:
