@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from oracle import assert_same
 from tideline.llm.decontam import decontaminate, drop_contaminated
@@ -80,7 +82,7 @@ def test_empty_tables(spark):
 
 
 def test_survivors_keep_columns(spark, rows):
-    docs = spark.createDataFrame([(1, "a b c", 5), (2, "d e", 6), (None, "x", 7)], "doc_id long, text string, words int")
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, "d e", 6), (None, "x", 7)], "doc_id long, text string, words int").withColumns({c: F.lit(1) for c in ("_maybe", "_words", "_rid", "found", "kind", "_one")})
     items = spark.createDataFrame([(1, "b c")], "item_id long, text string")
     kept = drop_contaminated(docs, items)
     assert kept.columns == docs.columns and rows(kept, "words") == [(6,), (7,)]

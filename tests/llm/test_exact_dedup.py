@@ -48,7 +48,7 @@ def test_colliding_digests_drop_nothing(spark):
 
 
 def test_survivors_keep_columns_that_clash(spark, rows):
-    df = spark.createDataFrame([(k, i, t, "k", 7) for k, (i, t) in enumerate(DOCS)], "digest int, doc_id long, text string, kept string, row int")
+    df = spark.createDataFrame([(k, i, t, "k", 7) for k, (i, t) in enumerate(DOCS)], "digest int, doc_id long, text string, kept string, row int").withColumns({c: F.lit(1) for c in ("_maybe", "_bucket", "_place", "file", "norm", "first")})
     kept = exact_dedup(df).survivors()
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r[0] for r in brute(DOCS) if r[3]), key=str)

@@ -54,6 +54,6 @@ def test_key_filter_never_misses(spark):
     gone = df.where("doc_id % 7 = 0")
     for bits in (15, 16, 20):
         marked = KeyFilter.of(gone, F.col("doc_id"), bits).split(df, F.col("doc_id"))
-        assert marked.where("doc_id % 7 = 0 and not _maybe").count() == 0
+        assert marked.where("doc_id % 7 = 0 and not _tideline_maybe").count() == 0
         kept = without_keys(df.withColumn("_x", F.lit(1)), gone, "doc_id", bits=bits)
         assert kept.count() == df.count() - gone.count() and kept.where("doc_id % 7 = 0").count() == 0

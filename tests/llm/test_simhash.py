@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tideline.llm.components import connected_components
 from tideline.llm.simhash import drop_near_duplicates, fingerprint, hex_fp, simhash_components
@@ -79,7 +80,6 @@ def test_components_of_a_long_path(spark, rows):
 
 def test_rows_without_ids_link_others(spark, rows):
     """Fingerprints in a chain whose middle one only rows without an id have."""
-    from pyspark.sql import functions as F
     from tideline.llm.simhash import _named
 
     prints = spark.createDataFrame([(5, 0), (None, 0b111), (None, 0b111), (9, 0b111111), (None, 255 << 40)], "doc_id long, fp long")
@@ -92,7 +92,7 @@ def test_rows_without_ids_link_others(spark, rows):
 def test_survivors(spark, rows):
     docs = [(4, "one two three four five six"), (2, "one two three four five six"), (9, "something else entirely is here"), (None, "one two three four five six")]
     docs += [(2, "one two three four five six"), (9, "a text of its own which shares an id only"), (None, "nobody else says this at all"), (None, "nobody else says this at all")]
-    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, fp string")
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, fp string").withColumns({c: F.lit(1) for c in ("_maybe", "_bucket", "node", "least", "component")})
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert rows(kept, "doc_id", "text") == [(2, docs[0][1]), (9, docs[5][1]), (9, docs[2][1]), (None, docs[6][1])]

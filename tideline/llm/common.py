@@ -34,7 +34,7 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-FILE, ROW = "_place_file", "_place_row"
+FILE, ROW = "_tideline_file", "_tideline_row"
 
 
 def _plans(docs: DataFrame) -> list:
@@ -54,9 +54,11 @@ def _as_stored(plan) -> bool:
 
 
 def with_place(docs: DataFrame, store: str | None = None) -> DataFrame:
-    """``docs`` with ``_place_file`` and ``_place_row``, which name a row's place
+    """``docs`` with ``_tideline_file`` and ``_tideline_row``, which name a row's place
     in its Parquet file, so that rows are told apart whatever ids they have.
 
+    No column of ``docs`` may have a name that starts with ``_tideline_``.
+
     A frame that is not a plain scan of files is written first: into the folder
     ``store``, or as an intermediate table.
     """
@@ -101,23 +103,23 @@ class KeyFilter:
     def of(keys: DataFrame, key: Column, bits: int = 26) -> KeyFilter:
         place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
         rows = (
-            keys.select(place.alias("_place"))
-            .groupBy(F.shiftright("_place", 15).alias("_bucket"))
-            .agg(F.bitmap_construct_agg(F.expr("_place & 32767")).alias("_bitmap"))
+            keys.select(place.alias("_tideline_place"))
+            .groupBy(F.shiftright("_tideline_place", 15).alias("_tideline_bucket"))
+            .agg(F.bitmap_construct_agg(F.expr("_tideline_place & 32767")).alias("_tideline_bitmap"))
         )
         return KeyFilter(rows, bits)
 
     def split(self, df: DataFrame, key: Column) -> DataFrame:
-        """``df`` with a boolean column ``_maybe``."""
+        """``df`` with a boolean column ``_tideline_maybe``."""
         place = F.pmod(F.xxhash64(key), F.lit(1 << self.bits))
-        byte = F.conv(F.hex(F.expr("substring(_bitmap, cast((_place & 32767) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        maybe = F.coalesce(F.expr("0") < F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_place & 7 as int))")), F.lit(False))
+        byte = F.conv(F.hex(F.expr("substring(_tideline_bitmap, cast((_tideline_place & 32767) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        maybe = F.coalesce(F.expr("0") < F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_tideline_place & 7 as int))")), F.lit(False))
         return (
-            df.withColumn("_place", place)
-            .withColumn("_bucket", F.shiftright("_place", 15))
-            .join(F.broadcast(self.rows), "_bucket", "left")
-            .withColumn("_maybe", maybe)
-            .drop("_bucket", "_place", "_bitmap")
+            df.withColumn("_tideline_place", place)
+            .withColumn("_tideline_bucket", F.shiftright("_tideline_place", 15))
+            .join(F.broadcast(self.rows), "_tideline_bucket", "left")
+            .withColumn("_tideline_maybe", maybe)
+            .drop("_tideline_bucket", "_tideline_place", "_tideline_bitmap")
         )
 
 
@@ -129,7 +131,7 @@ def without_keys(df: DataFrame, dropped: DataFrame, *keys: str, bits: int = 26)
     """
     key = F.struct(*keys)
     marked = KeyFilter.of(dropped, key, bits).split(df, key)
-    clear = marked.where(~F.col("_maybe")).drop("_maybe")
-    maybe = marked.where("_maybe").drop("_maybe")
+    clear = marked.where(~F.col("_tideline_maybe")).drop("_tideline_maybe")
+    maybe = marked.where("_tideline_maybe").drop("_tideline_maybe")
     kept = maybe.join(dropped.select(*keys).distinct(), list(keys), "left_anti")
     return clear.unionByName(kept.select(*df.columns)).select(*df.columns)

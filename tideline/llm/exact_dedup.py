@@ -21,7 +21,7 @@ Defined results: a null text counts as the empty text; of equal texts the row
 with the smallest id stays, and of rows that repeat that id, the one that comes
 first by file and position; a null id ranks after all others; an empty table
 gives an empty result; further columns are carried by ``survivors`` and may have
-any name that does not start with ``_place_`` or ``_dedup_``.
+any name that does not start with ``_tideline_``.
 """
 
 from __future__ import annotations
@@ -162,9 +162,9 @@ def exact_dedup(
     # Full bytes of the hits: only rows whose digest may be a repeated one are read for their text again.
     repeated = state.where("group_size > 1").select("digest", "anchor")
     maybe = KeyFilter.of(repeated, F.col("digest"), filter_bits)
-    marked = maybe.split(placed.withColumn("_dedup_norm", norm).withColumn("_dedup_digest", digest(F.col("_dedup_norm"))), F.col("_dedup_digest"))
-    candidates = write_shared(marked.where("_maybe").drop("_maybe"), "dedup-candidates")
-    texts = candidates.select(F.col("_dedup_digest").alias("digest"), F.col(FILE).alias("file"), F.col(ROW).alias("row"), F.col("_dedup_norm").alias("norm"))
+    marked = maybe.split(placed.withColumn("_tideline_norm", norm).withColumn("_tideline_digest", digest(F.col("_tideline_norm"))), F.col("_tideline_digest"))
+    candidates = write_shared(marked.where("_tideline_maybe").drop("_tideline_maybe"), "dedup-candidates")
+    texts = candidates.select(F.col("_tideline_digest").alias("digest"), F.col(FILE).alias("file"), F.col(ROW).alias("row"), F.col("_tideline_norm").alias("norm"))
     anchors = repeated.select("digest", "anchor.*")
     known = texts.join(anchors.where(F.col("call") == call).select("file", "row"), ["file", "row"], "left_semi").select("digest", F.col("norm").alias("kept_norm"))
     if call:
@@ -187,7 +187,7 @@ def exact_dedup(
         return found if collided.isEmpty() else _by_bytes(found, every(), every(), collided, text_col)
 
     def survivors() -> DataFrame:
-        clear = marked.where(~F.col("_maybe")).select(*columns)
+        clear = marked.where(~F.col("_tideline_maybe")).select(*columns)
         kept = decisions.where("kept").select(F.col("file").alias(FILE), F.col("row").alias(ROW))
         return clear.unionByName(candidates.join(kept, [FILE, ROW], "left_semi").select(*columns))
 

@@ -328,13 +328,14 @@ def _places(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 1_000) -> DataFrame:
     """``found (doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``.
 
-    Every row gets a place; rows that repeat, or have no id, are packed each. An
-    empty table gives an empty result.
+    Every row gets a place; rows that repeat, or have no id, are packed each. No
+    column may have a name that starts with ``_tideline_``. An empty table gives
+    an empty result.
     """
     columns = found.columns
     with small_batches(found.sparkSession):
         # Rows get a number of their own, so that salts part them whatever ids they have.
-        found = write_shared(found.withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
+        found = write_shared(found.withColumn("_tideline_rid", F.monotonically_increasing_id()), "packing-pieces")
     by_length = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)
     for k, n in by_length.items():
@@ -344,16 +345,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 1_000)
 
     # Every length has salts by its own count, so no task ranks much more than `rows_per_salt` rows of a common one.
     salts = F.array(*(F.lit(max(1, -(-int(n) // rows_per_salt))) for n in histogram))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.get(salts, F.col("length").cast("int"))))
-    before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    salted = found.withColumn("_tideline_salt", F.pmod(F.xxhash64("_tideline_rid"), F.get(salts, F.col("length").cast("int"))))
+    before = salted.groupBy("length", "_tideline_salt").agg(F.count(F.lit(1)).alias("_tideline_n"))
     order = "rows between unbounded preceding and 1 preceding"
-    before = before.select("length", "_salt", F.expr(f"coalesce(sum(_n) over (partition by length order by _salt {order}), 0)").alias("_before"))
-    ranked = salted.withColumn("_rank", F.expr("row_number() over (partition by length, _salt order by _row)"))
-    ranked = ranked.join(before, ["length", "_salt"]).select(*columns, (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
+    before = before.select("length", "_tideline_salt", F.expr(f"coalesce(sum(_tideline_n) over (partition by length order by _tideline_salt {order}), 0)").alias("_tideline_before"))
+    ranked = salted.withColumn("_tideline_rank", F.expr("row_number() over (partition by length, _tideline_salt order by _tideline_rid)"))
+    ranked = ranked.join(before, ["length", "_tideline_salt"]).select(*columns, (F.col("_tideline_rank") - 1 + F.col("_tideline_before")).alias("_tideline_rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64)
+            rank = batch.column("_tideline_rank").to_numpy(zero_copy_only=False).astype(np.int64)
             own = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.searchsorted(key, own << 40 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -361,7 +362,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 1_000)
                 names=[*columns, "sequence_id", "offset"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_tideline_rank")
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
