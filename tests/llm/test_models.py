@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,15 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0d]+", lower)
 
 
+def test_words_of_slices():
+    texts = [None, "", " \t", "A b\x0bÉ\x85é\u3000X\x1cy", " lead", "trail \n", "a" * 100, "x " * 50_000, None, "ÀÉ Z"]
+    got = []
+    for part in lm_scoring.slices(pa.array(texts * 30)):
+        words, index, bounds = lm_scoring.split_words(part)
+        got += [[words[k].decode() for k in index[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [split(t) for t in texts * 30]
+
+
 @pytest.mark.parametrize("common", [5, 100_000])
 def test_text_scores_count_exactly(spark, common):
     data = duckdb.execute("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY 1 LIMIT 60").fetchall()

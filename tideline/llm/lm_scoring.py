@@ -34,11 +34,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, text_or_empty, write_shared
+from .common import text_or_empty, write_shared
 
 #: Words with an output of their own, and classes of the others.
 SHORTLIST = 1_791
@@ -56,19 +57,41 @@ DIM = 24
 #: Words whose outputs a worker that codes texts remembers.
 CODED = 500_000
 _FLUSH = 300_000
-#: Texts that are scored together, and tokens whose vectors are held at once.
-SLICE = 64
+#: Bytes of texts that are looked at together, and tokens whose vectors are held at once.
+SLICE_BYTES = 4 << 20
 _STEP = 1 << 14
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words of a text in UTF-8, without its end."""
-    return text.translate(ASCII_LOWER).split() if text else []
-
-
-def utf8(texts: pa.Array) -> list[bytes | None]:
-    """The texts of a column as they are stored."""
-    return texts.cast(pa.binary()).to_pylist()
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column in slices of about ``SLICE_BYTES``, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > SLICE_BYTES:
+            yield texts.slice(start, k - start)
+            start, held = k, 0
+        held += size + 1
+    if start < len(sizes):
+        yield texts.slice(start)
+
+
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a slice of texts, all its words in order as numbers
+    of these, and where each text's words begin (and the last one's end). Arrow
+    numbers the words, so each distinct one is looked up once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    index, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    if b"" in words:  # at the ends of texts
+        empty = words.index(b"")
+        kept = index != empty
+        bounds = np.r_[0, np.cumsum(kept)][bounds]
+        index = index[kept]
+        index = index - (index > empty)
+        del words[empty]
+    return words, index, bounds
 
 
 def ending_class(word: bytes, classes: int = CLASSES) -> int:
@@ -84,8 +107,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         counts: Counter = Counter()
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                counts.update(tokens(text))
+            for texts in slices(batch.column(0)):
+                words, index, _ = split_words(texts)
+                found = zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True)
+                counts.update({w: n for w, n in found if n})
                 if len(counts) > _FLUSH:
                     yield out(counts)
                     counts = Counter()
@@ -266,53 +291,58 @@ class TextModel:
         return {**self.__dict__, "_number": None}
 
     @property
-    def number(self) -> dict[bytes | None, int]:
-        """The common words' numbers; None stands for the end of a text."""
+    def number(self) -> dict[bytes, int]:
         if self._number is None:
-            self._number = {None: 0} | {w: k + 1 for k, w in enumerate(self.words)}
+            self._number = {w: k + 1 for k, w in enumerate(self.words)}
             self._far = self.network.context @ self.network.far
             self._near = self.network.context @ self.network.near
-            self._known = np.r_[self.count > 0, False]
-            self._base = np.r_[self.base(self.count), 0.0]
-            # The last one is for words that are not common: their share is added later.
-            self._inside = np.r_[self.inside, 0.0]
+            # Base score and share of a number, as one complex number that is looked up and summed at once. The last
+            # one is for words that are not common: their part is added later.
+            self._both = np.r_[self.base(self.count) + 1j * self.inside, 0.0]
             self._output = np.r_[self.output, -1].astype(np.int16)
         return self._number
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[list[bytes], np.ndarray, np.ndarray]]:
         """Of each text's words and its end: tokens, known tokens, base and model
-        scores, all without the share that rare words have in their class, and the
-        rare words' occurrences."""
+        scores, all without the share that rare words have in their class; and the
+        rare words of all texts, their occurrences, and where each text's begin."""
         number = self.number
         start = len(self.network.context) - 1
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
-        words = [w for t in texts for w in (*t, None)]
-        n = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
-        o = self._output.take(n)
-        missing = np.flatnonzero(n < 0)
-        others = [words[k] for k in missing.tolist()]
-        o[missing] = np.fromiter((self.shortlist + 1 + ending_class(w, self.classes) for w in others), np.int16, len(others))
-        cuts = np.searchsorted(missing, np.r_[0, ends])
-        rare = [Counter(others[a:b]) if b > a else {} for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        words, index, bounds = split_words(texts)
+        own = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
+        own_output = self._output.take(own)
+        rare = np.flatnonzero(own < 0)
+        own_output[rare] = np.fromiter((self.shortlist + 1 + ending_class(words[k], self.classes) for k in rare.tolist()), np.int16, len(rare))
+
+        ends = bounds[1:] + np.arange(1, len(texts) + 1)  # every text has its end as a token, number 0
+        begins = np.r_[0, ends[:-1]]
+        said = np.ones(len(index) + len(texts), bool)
+        said[ends - 1] = False
+        n, o = np.zeros(len(said), np.int32), np.zeros(len(said), np.int16)
+        n[said], o[said] = own.take(index), own_output.take(index)
         near, far = np.empty_like(o), np.empty_like(o)
         near[1:], far[2:] = o[:-1], o[:-2]
         near[begins] = start
         far[begins] = start
-        second = begins[sizes > 1] + 1
-        far[second] = start
+        far[begins[ends - begins > 1] + 1] = start
         z = np.empty(len(o), np.float32)
         for at in range(0, len(o), _STEP):
             f, h, w = (x[at : at + _STEP] for x in (far, near, o))
             q = self._far.take(f, 0)
             q += self._near.take(h, 0)
             z[at : at + _STEP] = np.einsum("ij,ij->i", q, self.network.out.take(w, 0)) + self.network.bias.take(w) - self.log_z[f, h]
-        score = z / np.log(10) + self._inside.take(n)
-        return sizes, np.add.reduceat(self._known.take(n), begins, dtype=np.int64), np.add.reduceat(self._base.take(n), begins), np.add.reduceat(score, begins), rare
+        both = np.add.reduceat(self._both.take(n), begins)
+        known = np.add.reduceat(n > 0, begins, dtype=np.int64) + int(self.count[0] > 0)
+        score = np.add.reduceat(z, begins, dtype=np.float64) / np.log(10) + both.imag
+
+        missing = np.flatnonzero(own.take(index) < 0)
+        of = np.searchsorted(bounds, missing, side="right") - 1
+        pairs, times = np.unique(of * len(words) + index[missing], return_counts=True) if len(missing) else (missing, missing)
+        found = [words[k] for k in (pairs % max(len(words), 1)).tolist()]
+        return ends - begins, known, both.real, score, (found, times, np.searchsorted(pairs // max(len(words), 1), np.arange(len(texts) + 1)))
 
 
 def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, shards: int) -> DataFrame:
@@ -325,16 +355,20 @@ def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, s
         code = Coder(output).__getitem__
         for batch in batches:
             of, part, codes = [], [], []
-            for k, text in enumerate(utf8(batch.column(1))):
-                words = tokens(text)
-                t = np.empty(len(words) + 3, np.int16)
-                t[0] = t[1] = start
-                t[2:-1] = np.fromiter(map(code, words), np.int16, len(words))
-                t[-1] = 0
-                for number, at in enumerate(range(0, len(t) - 2, PART)):
-                    of.append(k)
-                    part.append(number)
-                    codes.append(t[at : at + PART + 2].tobytes())
+            k = 0
+            for texts in slices(batch.column(1)):
+                words, index, bounds = split_words(texts)
+                outputs = np.fromiter(map(code, words), np.int16, len(words)).take(index)
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    t = np.empty(b - a + 3, np.int16)
+                    t[0] = t[1] = start
+                    t[2:-1] = outputs[a:b]
+                    t[-1] = 0
+                    for number, at in enumerate(range(0, len(t) - 2, PART)):
+                        of.append(k)
+                        part.append(number)
+                        codes.append(t[at : at + PART + 2].tobytes())
+                    k += 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(part, pa.int64()), pa.array(codes, pa.binary())], names=["doc_id", "part", "codes"])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -456,22 +490,15 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            words, n, ends = [], [], [0]
-            for at in range(0, batch.num_rows, SLICE):
-                *values, rare = fitted.score([tokens(x) for x in utf8(batch.column(3).slice(at, SLICE))])
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-                for counts in rare:
-                    words += counts
-                    n += counts.values()
-                    ends.append(len(words))
-            if not out[0]:
-                continue
-            of = pa.array([ending_class(w, classes) for w in words], pa.int32())
-            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), of], names=["word", "n", "class"])
-            values = [pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], names=["rid", "doc_id", "learnt", "n_tokens", "n_known", "base", "score", "rare"])
+            at = 0
+            for texts in slices(batch.column(3)):
+                *values, (words, n, bounds) = fitted.score(texts)
+                of = pa.array([ending_class(w, classes) for w in words], pa.int32())
+                rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), of], names=["word", "n", "class"])
+                values = [pa.array(x, t) for x, t in zip(values, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                keys = [batch.column(k).slice(at, len(texts)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, *values, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare)], names=["rid", "doc_id", "learnt", "n_tokens", "n_known", "base", "score", "rare"])
+                at += len(texts)
 
     placed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "learnt", "text")
     schema = f"rid long, doc_id {kind}, learnt boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: bigint, class: int>>"
