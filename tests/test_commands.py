@@ -84,11 +84,23 @@ def test_files_in_text_out(spark, tmp_path):
         found = numbered_lines(spark, str(script))
         assert found.rdd.getNumPartitions() >= 1
         assert [tuple(r) for r in found.orderBy("ord").collect()] == list(enumerate(script.read_text().split("\n")))
-        assert "".join(printed(spark, str(script), str(config))) == f"7\n1:1 2:2 \n\n{PUT}"
+        said = list(printed(spark, str(script), str(config)))
+        assert "".join(text for text, _ in said) == f"7\n1:1 2:2 \n\n{PUT}" and [e for _, e in said] == [False, False, False, True]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_program(spark, tmp_path, capsys):
+    from tideline.__main__ import main
+
+    (tmp_path / "good").write_text("p 1 2\ng 1\n")
+    (tmp_path / "bad").write_text('g 1\nl "none"\ng 1\n')
+    (tmp_path / "config").write_text("lsm.ratio=0\n")
+    assert main(str(tmp_path / "good")) == 0 and capsys.readouterr().out == "2\n"
+    assert main(str(tmp_path / "bad")) == 1 and capsys.readouterr().out == "\nCould not read from file none\n"
+    assert main(str(tmp_path / "good"), str(tmp_path / "config")) == 1 and "ratio" in capsys.readouterr().err
+
+
 def test_config(spark):
     got = parse_config("\n".join(CONFIG_LINES))
     assert got == Config(5, 1000, 4, 0.05)

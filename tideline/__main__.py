@@ -1,4 +1,5 @@
-"""``python -m tideline SCRIPT [CONFIG]``: run a command script and print what it says."""
+"""``python -m tideline SCRIPT [CONFIG]``: run a command script and print what it
+says; the exit code is 1 if the script or its configuration is in error."""
 
 from __future__ import annotations
 
@@ -9,11 +10,17 @@ from pyspark.sql import SparkSession
 from .sources.driver import printed
 
 
-def main(script: str, config: str | None = None) -> None:
+def main(script: str, config: str | None = None) -> int:
     spark = SparkSession.builder.appName("tideline").getOrCreate()
-    for text in printed(spark, script, config):
-        sys.stdout.write(text)
+    failed = False
+    try:
+        for text, failed in printed(spark, script, config):
+            sys.stdout.write(text)
+    except ValueError as error:
+        sys.stderr.write(f"{error}\n")
+        failed = True
+    return int(failed)
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    sys.exit(main(*sys.argv[1:3]))

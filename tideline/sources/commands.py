@@ -34,6 +34,7 @@ _MESSAGES = {
     "l": "Invalid load command, one filename argument in double quotes is required",
 }
 UNREADABLE = "Could not read from file "
+UNKNOWN = "unknown command: "
 _NAMES = {"p": "put", "g": "get", "d": "delete", "r": "range", "l": "load", "s": "summary"}
 #: Positions that a line's loaded pairs may take.
 _STEP = 1 << 32
@@ -57,7 +58,7 @@ def parse_commands(lines: DataFrame) -> DataFrame:
     rows = rows.select("ord", "line", first.alias("c"), argument(1).alias("a"), argument(2).alias("b"), F.when(first == "l", F.regexp_extract("line", _FILE, 1)).alias("path"), F.regexp_extract("line", _FILE, 0).alias("load"))
     bad = F.when(F.col("c").isin("p", "r"), F.col("a").isNull() | F.col("b").isNull()).when(F.col("c").isin("g", "d"), F.col("a").isNull())
     bad = bad.when(F.col("c") == "l", (F.col("load") == "") | ~F.col("line").rlike(r'^l\s*"\s*\S')).when(F.col("c") == "s", F.lit(False)).otherwise(True)
-    text = reduce(lambda w, x: w.when(F.col("c") == x[0], x[1]), list(_MESSAGES.items())[1:], F.when(F.col("c") == "p", _MESSAGES["p"])).otherwise(F.concat(F.lit("unknown command: "), "line"))
+    text = reduce(lambda w, x: w.when(F.col("c") == x[0], x[1]), list(_MESSAGES.items())[1:], F.when(F.col("c") == "p", _MESSAGES["p"])).otherwise(F.concat(F.lit(UNKNOWN), "line"))
     name = reduce(lambda w, x: w.when(F.col("c") == x[0], x[1]), list(_NAMES.items())[1:], F.when(F.col("c") == "p", "put"))
     return rows.withColumn("bad", bad).select(
         "ord",
@@ -69,6 +70,16 @@ def parse_commands(lines: DataFrame) -> DataFrame:
     )
 
 
+def is_malformed(output: str) -> bool:
+    """Whether an output is the message of a malformed command."""
+    return output in _MESSAGES.values()
+
+
+def is_error(output: str) -> bool:
+    """Whether an output ended its script."""
+    return is_malformed(output) or output.startswith((UNKNOWN, UNREADABLE))
+
+
 def first_error(parsed: DataFrame) -> int | None:
     """The place of the first line in error, if any."""
     return parsed.where("op = 'error'").agg(F.min("ord")).first()[0]

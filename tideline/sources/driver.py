@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .commands import parse_commands, run_script
+from .commands import is_error, is_malformed, run_script
 from .config import Config, parse_config
 
 
@@ -39,9 +39,9 @@ def run_files(spark: SparkSession, script: str, config: str | None = None, load:
     return run_script(spark, numbered_lines(spark, script), settings.flush_every, settings.ratio, load)
 
 
-def printed(spark: SparkSession, script: str, config: str | None = None) -> Iterator[str]:
-    """What the program prints, piece by piece: results and summaries end their
-    lines; the message of a malformed command does not."""
-    bare = {r["ord"] for r in parse_commands(numbered_lines(spark, script)).where("op = 'error'").orderBy("ord").limit(1).collect()}
+def printed(spark: SparkSession, script: str, config: str | None = None) -> Iterator[tuple[str, bool]]:
+    """What the program prints, piece by piece, and whether that is an error.
+    Results, summaries and most messages end their lines; the message of a
+    malformed command does not."""
     for r in run_files(spark, script, config).toLocalIterator():
-        yield r["output"] if r["ord"] in bare and not r["output"].startswith("unknown command") else r["output"] + "\n"
+        yield r["output"] + ("" if is_malformed(r["output"]) else "\n"), is_error(r["output"])
