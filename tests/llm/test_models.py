@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import langid, lm_scoring, toxicity
-from tideline.llm.common import id_crc32
+from tideline.llm.common import id_crc32, slices
 
 DATA = "/root/testdata/sf0.1"
 
@@ -104,8 +104,11 @@ def split(text):
 def test_words_of_slices():
     texts = [None, "", " \t", "A b\x0bÉ\x85é\u3000X\x1cy", " lead", "trail \n", "a" * 100, "x " * 50_000, None, "ÀÉ Z"]
     got = []
-    for part in lm_scoring.slices(pa.array(texts * 30)):
-        words, index, bounds = lm_scoring.split_words(part)
+    column = pa.array(texts * 30)
+    cuts = list(slices(column, 150_000, 7))
+    assert max(n for _, n in cuts) <= 7 and [a + n for a, n in cuts] == [*(a for a, _ in cuts[1:]), 300] and list(slices(column[:0], 9)) == []
+    for at, n in cuts:
+        words, index, bounds = lm_scoring.split_words(column.slice(at, n))
         got += [[words[k].decode() for k in index[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert got == [split(t) for t in texts * 30]
 

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,20 @@ def with_place(docs: DataFrame, store: str | None = None) -> DataFrame:
     return docs.withColumns({FILE: place.getField("file_path"), ROW: place.getField("row_index")})
 
 
+def slices(texts: pa.Array, most_bytes: int, most_rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Starts and lengths of slices of a column of texts, of about ``most_bytes``
+    and ``most_rows`` at most; a longer text is a slice of its own. So long texts
+    that stand together are not looked at together."""
+    start = held = k = 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if k > start and (held + size > most_bytes or k - start == most_rows):
+            yield start, k - start
+            start, held = k, 0
+        held += size
+    if len(texts):
+        yield start, k + 1 - start
+
+
 def ascii_lower(text: Column | str) -> Column:
     """A-Z to a-z; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)

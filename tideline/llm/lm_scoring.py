@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, write_shared
+from .common import slices, text_or_empty, write_shared
 
 #: Words with an output of their own, and classes of the others.
 SHORTLIST = 1_791
@@ -62,19 +62,6 @@ SLICE_BYTES = 4 << 20
 _STEP = 1 << 14
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """A column in slices of about ``SLICE_BYTES``, or of one text."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    start = held = 0
-    for k, size in enumerate(sizes):
-        if held and held + size > SLICE_BYTES:
-            yield texts.slice(start, k - start)
-            start, held = k, 0
-        held += size + 1
-    if start < len(sizes):
-        yield texts.slice(start)
-
-
 def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of a slice of texts, all its words in order as numbers
     of these, and where each text's words begin (and the last one's end). Arrow
@@ -107,8 +94,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         counts: Counter = Counter()
         for batch in batches:
-            for texts in slices(batch.column(0)):
-                words, index, _ = split_words(texts)
+            for at, n in slices(batch.column(0), SLICE_BYTES):
+                words, index, _ = split_words(batch.column(0).slice(at, n))
                 found = zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True)
                 counts.update({w: n for w, n in found if n})
                 if len(counts) > _FLUSH:
@@ -356,8 +343,8 @@ def shards_of(training: DataFrame, output: Callable[[bytes], int], start: int, s
         for batch in batches:
             of, part, codes = [], [], []
             k = 0
-            for texts in slices(batch.column(1)):
-                words, index, bounds = split_words(texts)
+            for first, size in slices(batch.column(1), SLICE_BYTES):
+                words, index, bounds = split_words(batch.column(1).slice(first, size))
                 outputs = np.fromiter(map(code, words), np.int16, len(words)).take(index)
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     t = np.empty(b - a + 3, np.int16)
@@ -490,15 +477,13 @@ def score_texts(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, clas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(3)):
-                *values, (words, n, bounds) = fitted.score(texts)
+            for at, size in slices(batch.column(3), SLICE_BYTES):
+                *values, (words, n, bounds) = fitted.score(batch.column(3).slice(at, size))
                 of = pa.array([ending_class(w, classes) for w in words], pa.int32())
                 rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), of], names=["word", "n", "class"])
                 values = [pa.array(x, t) for x, t in zip(values, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-                keys = [batch.column(k).slice(at, len(texts)) for k in range(3)]
+                keys = [batch.column(k).slice(at, size) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*keys, *values, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare)], names=["rid", "doc_id", "learnt", "n_tokens", "n_known", "base", "score", "rare"])
-                at += len(texts)
 
     placed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "learnt", "text")
     schema = f"rid long, doc_id {kind}, learnt boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: bigint, class: int>>"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import FILE, ROW, small_batches, with_place, without_keys, write_shared
+from .common import FILE, ROW, slices, small_batches, with_place, without_keys, write_shared
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of the id.
 TRAIN_ROWS = 8000
@@ -34,8 +34,10 @@ BUCKETS = 1 << BUCKET_BITS
 #: Grams a model uses at most, those with the strongest association.
 FEATURES = 3000
 FOLDS = 4
-#: Texts that are looked at together.
+#: Texts that are looked at together, and their bytes; distinct words that are hashed together.
 SLICE = 128
+SLICE_BYTES = 1 << 19
+_WORDS = 1 << 14
 
 _WORD = re.compile(r"\w+")
 
@@ -72,10 +74,14 @@ def present(texts: list[str | None], number: np.ndarray | None = None) -> tuple[
     ``number`` maps buckets to features (-1: none); without it they are buckets."""
     seen = _Numbers()
     own = [np.fromiter(map(seen.__getitem__, words), np.int64, len(words)) for words in (set(_WORD.findall((t or "").lower())) for t in texts)]
-    of, ids = word_buckets(list(seen))
-    if number is not None:
-        ids = number[ids]
-        of, ids = of[ids >= 0], ids[ids >= 0]
+    distinct, parts = list(seen), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at in range(0, len(distinct), _WORDS):
+        of, ids = word_buckets(distinct[at : at + _WORDS])
+        if number is not None:
+            ids = number[ids]
+            of, ids = of[ids >= 0], ids[ids >= 0]
+        parts.append((of + at, ids))
+    of, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(of, kind="stable")
     of, ids = of[order], ids[order].astype(np.int64)
     starts = np.searchsorted(of, np.arange(len(seen) + 1))
@@ -155,7 +161,7 @@ class Chain:
 
     def score_column(self, texts: pa.Array) -> np.ndarray:
         """As ``score``, a slice at a time."""
-        parts = [self.score(texts.slice(at, SLICE).to_pylist()) for at in range(0, len(texts), SLICE)]
+        parts = [self.score(texts.slice(at, n).to_pylist()) for at, n in slices(texts, SLICE_BYTES, SLICE)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.models)))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -264,8 +270,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE // 4):
-                part = batch.slice(at, SLICE // 4)
+            for at, n in slices(batch.column("text"), SLICE_BYTES // 4, SLICE // 4):
+                part = batch.slice(at, n)
                 rows, ids = present(part.column("text").to_pylist())
                 found = [x.astype("<u4").tobytes() for x in np.split(ids, np.searchsorted(rows, np.arange(1, part.num_rows)))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary()), *(part.column(c) for c in names)], names=["doc_id", "found", *names])
