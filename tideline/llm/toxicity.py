@@ -286,6 +286,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Colum
     order = pc.sort_indices(rows.column("doc_id")).to_pylist()
     found = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("found")]
     y = np.stack([rows.column(c).to_numpy() for c in names], 1)[order]
+    del rows  # fitting needs the memory
     return train_chain([found[k] for k in order], y.astype(float), names)
 
 
