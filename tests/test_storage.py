@@ -42,6 +42,13 @@ def test_bloom_has_no_false_negatives(spark):
     assert flushed.join(maybe, ["run_id", "key"], "left_anti").count() == 0
 
 
+def test_bloom_probe_stays_small(spark):
+    """The hash's steps are not copied into the joins' conditions."""
+    from tideline.plans.catalogue import bloom_probe
+
+    assert len(plan(bloom_probe(spark, SMALL))) < 20_000
+
+
 def test_fences(spark, rows):
     run = spark.createDataFrame([(1, k, False, 0) for k in range(0, 50, 5)] + [(2, 3, False, 0)], "run_id int, key int, is_delete boolean, value int")
     pages = indexes.fence_pages(run, 4)

@@ -29,9 +29,14 @@ def bloom_hashes(p: Column) -> Column:
 
 
 def bloom_positions(keys: DataFrame, bits: Column, hashes: Column) -> DataFrame:
-    """``keys`` with a row per hash: ``i`` and ``bit``."""
-    hashed = with_murmur3(keys.withColumn("i", F.explode(F.sequence(F.lit(0), hashes - 1))), F.col("key"), F.col("i"), "bit")
-    return hashed.withColumn("bit", F.col("bit") % bits)
+    """``keys`` with a row per hash: ``i`` and ``bit``. A null key has none.
+
+    ``bit`` is declared as never null: a join would otherwise ask for that below
+    the hash, and so copy all its steps into one condition.
+    """
+    present = keys.where("key is not null")
+    hashed = with_murmur3(present.withColumn("i", F.explode(F.sequence(F.lit(0), hashes - 1))), F.col("key"), F.col("i"), "bit")
+    return hashed.withColumn("bit", F.coalesce(F.col("bit") % bits, F.lit(0).cast("long")))
 
 
 def bloom_filter(runs: DataFrame, bits: Column, hashes: Column) -> DataFrame:
