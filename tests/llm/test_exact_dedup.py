@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from oracle import assert_same
+from tideline.llm.common import scratch
 from tideline.llm.exact_dedup import exact_dedup, sha256
 from tideline.llm.queries import ORACLE_SQL, op9_exact_dedup
 
@@ -96,6 +98,24 @@ def test_state_remembers_collisions(spark, tmp_path):
     assert run((7, "a")) == [(7, 1, 3, False)]
 
 
+def test_only_a_state_that_goes_on_has_checksums(spark, tmp_path):
+    """A state of the call's own writes none, so its stores have no threads for
+    them, which took an executor's memory at 211 partitions."""
+
+    def checksums(root):
+        return [f for _, _, names in os.walk(root) for f in names if f.endswith(".crc") and not f.startswith(".")]
+
+    name = "spark.sql.streaming.checkpoint.fileChecksum.enabled"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame(DOCS, "doc_id long, text string")
+    with scratch(spark) as path:
+        assert decisions(exact_dedup(df)) == brute(DOCS)
+        assert not checksums(path.removeprefix("file://"))
+    assert decisions(exact_dedup(df, root=str(tmp_path / "state"))) == brute(DOCS)
+    assert bool(checksums(tmp_path)) == (before == "true")
+    assert spark.conf.get(name) == before
+
+
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).decisions.count() == 0
 

@@ -1,3 +1,4 @@
+import gc
 import itertools
 import random
 import zlib
@@ -6,8 +7,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StructField
 
-from tideline.llm.packing import WordTokenizer, best_fit, enumerate_patterns, make_plan, pack, pack_documents
+from tideline.llm.packing import WordTokenizer, best_fit, enumerate_patterns, make_plan, pack, pack_documents, pieces
 from tideline.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -57,6 +59,35 @@ def test_packing_of_documents(spark):
     assert len(places) <= 1.03 * lower + 1
 
 
+def test_workers_give_memory_back():
+    """A worker outlives its task: Arrow's pool then holds no unused memory."""
+
+    class Docs:
+        schema = {"doc_id": StructField("doc_id", LongType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def anonymous():
+        gc.collect()
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
+
+    def batches():
+        rng = random.Random(5)
+        for k in range(4):
+            texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(600)) for _ in range(1000)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(1000 * k, 1000 * k + 1000)), pa.array(texts)], names=["doc_id", "text"])
+
+    assert sum(b.num_rows for b in pieces(Docs(), tokenizer_path("word_bpe_49k.json"))(batches())) >= 4000
+    held = anonymous()
+    pa.default_memory_pool().release_unused()
+    assert held - anonymous() < 8
+
+
 def test_hot_lengths_are_salted(spark):
     df = spark.createDataFrame([(k, 0, 1 if k % 3 == 0 else 700 + k % 5) for k in range(3000)], "doc_id long, piece int, length long")
     found = pack(df, rows_per_salt=10).collect()

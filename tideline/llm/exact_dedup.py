@@ -43,6 +43,8 @@ _ROCKSDB = {
     # A store per partition: no disk is set aside for each before it is needed.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: For a state that ends with its call. Checksums of checkpoint files take four threads a store, with stacks and malloc arenas of their own.
+_OWN = {"spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -58,9 +60,10 @@ def _state_schema(id_type: str) -> str:
     return f"digest binary, first struct<no_id: boolean, doc_id: {id_type}, file: string, row: bigint>, anchor struct<call: int, file: string, row: bigint>, group_size bigint"
 
 
-def _run_stream(spark: SparkSession, log_schema, root: str) -> int:
+def _run_stream(spark: SparkSession, log_schema, root: str, own: bool = False) -> int:
     """Take in what is new in the log under ``root``. Returns the number of the
-    last batch before this call; later ones have the entries that it touched."""
+    last batch before this call; later ones have the entries that it touched.
+    ``own``: no later call goes on with the state."""
     done = [int(x) for x in names_in(spark, f"{root}/checkpoint/commits") if x.isdigit()]
     state = (
         spark.readStream.schema(log_schema)
@@ -76,8 +79,9 @@ def _run_stream(spark: SparkSession, log_schema, root: str) -> int:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in _ROCKSDB}
-    for k, v in _ROCKSDB.items():
+    settings = _ROCKSDB | (_OWN if own else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
@@ -147,6 +151,7 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     columns = docs.columns
+    own = not root
     root = (root or new_path(spark, "dedup-state")).rstrip("/")
     call = 1 + max((int(x[5:]) for x in names_in(spark, f"{root}/log") if x.startswith("call=")), default=-1)
     placed = with_place(docs, f"{root}/documents/call={call}")
@@ -156,7 +161,7 @@ def exact_dedup(
     id_type = taken.schema["doc_id"].dataType.simpleString()
     log_schema = f"doc_id {id_type}, digest binary, file string, row bigint"
     taken = spark.read.schema(log_schema).parquet(f"{root}/log/call={call}")
-    last = _run_stream(spark, f"{log_schema}, call int", root)
+    last = _run_stream(spark, f"{log_schema}, call int", root, own)
     state = read_state(spark, root, id_type, last)
 
     # Full bytes of the hits: only rows whose digest may be a repeated one are read for their text again.

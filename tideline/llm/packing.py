@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, write_shared
+from .common import releasing, small_batches, write_shared
 
 CAPACITY = 2048
 #: Parts of the fitted counts that plans are made with; 0 is best-fit alone.
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             yield pa.RecordBatch.from_arrays([ids_of, *rest], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(releasing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass(frozen=True)
